@@ -69,7 +69,7 @@ def _document_frequencies(size: int, buckets: int) -> Callable:
 
 def inverse_frequencies(texts: DataFrame, size: int, buckets: int) -> np.ndarray:
     """ln(1 + N / df) of every bucket, counted over all rows; N is the number of texts with words."""
-    counted = texts.mapInArrow(_document_frequencies(size, buckets), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    counted = texts.mapInArrow(_document_frequencies(size, buckets), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     bucket, df = counted["bucket"].to_numpy(), counted["df"].to_numpy()
     n = df[bucket < 0].sum()
     out = np.full(buckets, np.log1p(max(n, 1)), np.float32)
