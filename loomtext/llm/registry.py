@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm import chat_format, license_scan
 from loomtext.llm.decontaminate import contaminated
+from loomtext.llm.html_wrapper import extract_content
 from loomtext.llm.language_crf import label_words
 from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.packing import pack
@@ -34,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_content(_read(spark, sf_dir, "pages"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_chat_format, op4_packing, op6_neighbours, op7_url_filter, op8_decontamination, op9_warc, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_chat_format, op4_packing, op5_html_extraction, op6_neighbours, op7_url_filter, op8_decontamination, op9_warc, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
