@@ -20,7 +20,7 @@ _WORD[0x80:] = True
 _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0xC2, 0xC3, 0xE2, 0xE3, 0xEF, 0xF0]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        t = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+        t = np.full(max(n, 64, 2 * len(_powers)), _BASE, np.uint64)
         t[0] = 1
         _powers = np.multiply.accumulate(t)
     return _powers

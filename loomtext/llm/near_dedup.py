@@ -262,10 +262,6 @@ def text_groups(texts: DataFrame, *, size: int = 3, bands: int = 16, rows: int =
     return components(edges.unionByName(more))
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("__k", F.unhex(F.md5(F.col(text).cast("binary"))))
-
-
 def _keepers(docs: DataFrame, doc_id: str, text: str, **how) -> DataFrame:
     """(doc_id, k, root, keep_id, keep_k, n) of every row that has text."""
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("k"))
@@ -293,9 +289,12 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     Rows of null text stay.
     """
     rows = _keepers(docs, doc_id, text, **how)
-    chosen = rows.where("n > 1").select(F.col("k").alias("__k"), F.col("first.doc_id").alias("__keep"), F.col("first.k").alias("__keep_k")).distinct()
-    keyed = _keyed(docs, text)
-    kept = keyed.where("__k is not null").join(chosen, "__k", "left").where(F.col("__keep_k").isNull() | (F.col("__k") == F.col("__keep_k")) & F.col(doc_id).eqNullSafe(F.col("__keep")))
-    n = F.row_number().over(Window.partitionBy("__k").orderBy("__k"))
-    kept = kept.withColumn("__n", n).where("__n = 1").select(*docs.columns)
+    own = "__own"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    k, keep, keep_k, n = (own + x for x in ("_k", "_keep", "_keep_k", "_n"))
+    chosen = rows.where("n > 1").select(F.col("k").alias(k), F.col("first.doc_id").alias(keep), F.col("first.k").alias(keep_k)).distinct()
+    keyed = docs.where(F.col(text).isNotNull()).withColumn(k, F.unhex(F.md5(F.col(text).cast("binary"))))
+    kept = keyed.join(chosen, k, "left").where(F.col(keep_k).isNull() | (F.col(k) == F.col(keep_k)) & F.col(doc_id).eqNullSafe(F.col(keep)))
+    kept = kept.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(k))).where(F.col(n) == 1).drop(k, keep, keep_k, n)
     return kept.unionByName(docs.where(F.col(text).isNull()))
