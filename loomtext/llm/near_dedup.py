@@ -236,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("k"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("k"), F.col("v").alias("root")).distinct())
 
 
-def text_groups(texts: DataFrame, *, size: int = 3, bands: int = 16, rows: int = 3, threshold: float = 0.5, buckets: int = 1 << 18, bits: int = 1 << 23) -> DataFrame:
+def text_groups(texts: DataFrame, *, size: int = 3, bands: int = 20, rows: int = 3, threshold: float = 0.5, buckets: int = 1 << 18, bits: int = 1 << 23) -> DataFrame:
     """(k, root) of all texts with a near copy; texts has k, a 16-byte digest, and text."""
     sc = texts.sparkSession.sparkContext
     idf = sc.broadcast(inverse_frequencies(texts.select("text"), size, buckets))
