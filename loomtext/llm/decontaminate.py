@@ -244,8 +244,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, min_seeds
 
     score is the Smith-Waterman score over words (match 2, mismatch and gap -1)
     divided by that of the whole item; pairs of at least min_score are given,
-    one for each input row and item. Items of fewer than n words use one seed
-    of all their words; items and documents without words match nothing, nor
+    one for each input row and item. A passage is aligned if it holds min_seeds
+    different seeds of the item; an item of at most n + min_seeds - 1 words
+    must therefore occur whole (with n = min_seeds = 2: up to 3 words). Items and documents without words match nothing, nor
     does a null text. Null ids are carried along; repeated rows give repeated
     pairs; no columns but those named are read; an empty table gives no pairs.
     """
