@@ -72,43 +72,54 @@ class WordBag:
         rows = known.count()
         has_ids = not known.where("id is not null").isEmpty()
         n = dictionary.doc_count
-        at = docs.select("doc_id", "tokens", F.posexplode("tokens").alias("x", "word"))
+        entries = self._words(docs, known, rows, has_ids, n) if not self.hash_ngrams else self._grams(docs, known, rows, has_ids, n)
+        if self.polys_window > 1:
+            entries = entries.unionByName(self._pairs(docs, known, rows, has_ids, n))
+        wt = F.max_by("wt", "ord") if self.hash_ngrams or self.polys_window > 1 else F.max("wt")
+        summed = entries.groupBy("doc_id", "idx").agg(F.sum("sg").alias("v"), wt.alias("wt"))
+        return normalised(summed.select("doc_id", "idx", (term_weight(F.col("v"), self.tf) * F.col("wt")).alias("val")), self.norm)
+
+    def _weighed(self, at: DataFrame, known: DataFrame, rows: int, has_ids: bool, n: int) -> DataFrame:
+        """The positions whose word may be a feature, with its id and idf."""
         at = at.join(sized_broadcast(known, rows), "word", "inner" if has_ids or self.idf is not None else "left")
         if has_ids:
             at = at.where(F.col("id").isNotNull() & (F.col("id") < self.hash_size))
-        at = at.withColumn("idf", F.lit(1.0) if self.idf is None else idf_weight(F.col("df"), n, self.idf)).where("idf is not null")
-        if self.hash_ngrams:
-            entries = self._grams(at)
-        else:
-            entries = at.select("doc_id", F.col("id").alias("idx"), F.lit(1.0).alias("sg"), F.col("idf").alias("wt"), F.struct("x", F.lit(0).alias("kind"), F.lit(0).alias("y")).alias("ord"))
-        if self.polys_window:
-            entries = entries.unionByName(self._pairs(at, known, rows, n))
-        summed = entries.groupBy("doc_id", "idx").agg(F.sum("sg").alias("v"), F.max_by("wt", "ord").alias("wt"))
-        return normalised(summed.select("doc_id", "idx", (term_weight(F.col("v"), self.tf) * F.col("wt")).alias("val")), self.norm)
+        return at.withColumn("idf", F.lit(1.0) if self.idf is None else idf_weight(F.col("df"), n, self.idf)).where("idf is not null")
+
+    def _words(self, docs: DataFrame, *known) -> DataFrame:
+        at = self._weighed(docs.select("doc_id", F.explode("tokens").alias("word")), *known)
+        return at.select("doc_id", F.col("id").alias("idx"), F.lit(1.0).alias("sg"), F.col("idf").alias("wt"), F.lit(0).cast("long").alias("ord"))
 
-    def _hashed(self, rows: DataFrame) -> DataFrame:
+    def _hashed(self, rows: DataFrame, kind: int) -> DataFrame:
+        """Entries of the strings g; ord tells the order in which they were added: by position, kind and distance."""
         h = rows.withColumn("h", murmur3(F.col("g"), self.seed))
-        return h.select("doc_id", slot(F.col("h"), self.hash_size).alias("idx"), sign_of(F.col("h")).alias("sg"), "wt", "ord")
+        order = F.col("x").cast("long") * 4096 + kind * 2048 + F.col("y")
+        return h.select("doc_id", slot(F.col("h"), self.hash_size).alias("idx"), sign_of(F.col("h")).alias("sg"), "wt", order.alias("ord"))
 
-    def _grams(self, at: DataFrame) -> DataFrame:
+    def _grams(self, docs: DataFrame, *known) -> DataFrame:
+        """N-grams are built from each document's array before it is exploded, so that rows stay small."""
         weights = self.ngram_weights or (1.0,) * self.hash_ngrams
-        gram = lambda y: F.struct(y.alias("y"), F.array_join(F.slice("tokens", F.col("x") - y + 1, y + 1), " ").alias("g"))
-        each = at.select("doc_id", "x", "idf", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(self.hash_ngrams - 1), F.col("x"))), gram)).alias("e"))
+        most = F.lit(self.hash_ngrams - 1)
+        gram = lambda w, x: F.transform(F.sequence(F.lit(0), F.least(most, x)), lambda y: F.struct(x.alias("x"), y.alias("y"), w.alias("word"), F.array_join(F.slice("tokens", x - y + 1, y + 1), " ").alias("g")))
+        each = docs.select("doc_id", F.explode(F.flatten(F.transform("tokens", gram))).alias("e")).select("doc_id", "e.*")
+        at = self._weighed(each, *known)
         wt = F.lit(None).cast("double")
         for y, w in enumerate(weights[: self.hash_ngrams]):
-            wt = F.when(F.col("e.y") == y, F.lit(float(w)) if w >= 0 else -w * F.col("idf")).otherwise(wt)
-        return self._hashed(each.select("doc_id", F.col("e.g").alias("g"), wt.alias("wt"), F.struct("x", F.lit(0).alias("kind"), F.col("e.y").alias("y")).alias("ord")))
+            wt = F.when(F.col("y") == y, F.lit(float(w)) if w >= 0 else -w * F.col("idf")).otherwise(wt)
+        return self._hashed(at.withColumn("wt", wt), 0)
 
-    def _pairs(self, at: DataFrame, known: DataFrame, rows: int, n: int) -> DataFrame:
+    def _pairs(self, docs: DataFrame, known: DataFrame, rows: int, has_ids: bool, n: int) -> DataFrame:
         inside = lambda df: (F.lit(n == 0) | ((df >= self.polys_mindf) & (df <= self.polys_maxdf * n)))
-        behind = at.where(inside(F.col("df")) & (F.col("x") > 0) & F.lit(self.polys_window > 1))
-        other = lambda y: F.struct(y.alias("y"), F.element_at("tokens", F.col("x") - y + 1).alias("v"))
-        each = behind.select("doc_id", "x", "word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(self.polys_window - 1), F.col("x")))), other)).alias("e")).select("doc_id", "x", "word", "e.y", "e.v")
+        most = F.lit(self.polys_window - 1)
+        near = lambda w, x: F.when(x > 0, F.transform(F.sequence(F.lit(1), F.least(most, F.greatest(x, F.lit(1)))), lambda y: F.struct(x.alias("x"), y.alias("y"), w.alias("word"), F.get("tokens", x - y).alias("v"))))
+        pairs = F.flatten(F.filter(F.transform("tokens", near), lambda p: p.isNotNull()))
+        each = docs.select("doc_id", F.explode(pairs).alias("e")).select("doc_id", "e.*")
+        each = self._weighed(each, known, rows, has_ids, n).where(inside(F.col("df"))).drop("df", "id", "idf")
         partner = known.select(F.col("word").alias("v"), F.col("df").alias("vdf"))
         each = each.join(sized_broadcast(partner, rows), "v").where(inside(F.col("vdf")))
         wt = F.lit(float(self.polys_weight)) if self.polys_weight >= 0 else -self.polys_weight / F.log(1 + F.col("y"))
         pair = F.concat(F.least("word", "v"), F.lit("#"), F.greatest("word", "v"))
-        return self._hashed(each.select("doc_id", pair.alias("g"), wt.alias("wt"), F.struct("x", F.lit(1).alias("kind"), "y").alias("ord")))
+        return self._hashed(each.select("doc_id", "x", "y", pair.alias("g"), wt.alias("wt")), 1)
 
 
 def _grams_of(tokens: str, n: int) -> Column:

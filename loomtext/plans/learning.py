@@ -15,16 +15,17 @@ from loomtext.plans.text_features import DICT_SQL, EACH_SQL, doc_tokens
 SIZE = 5001
 
 
-def _features(spark, sf_dir):
+def _features(spark, sf_dir, only=None):
+    """Features of all documents, or of those in ``only``; the dictionary is of all."""
     rows = doc_tokens(spark, sf_dir)
-    return WordBag(norm="l2", tf="log", idf=None).transform(rows, Dictionary(max_words=SIZE - 1).fit(rows))
+    d = Dictionary(max_words=SIZE - 1).fit(rows)
+    wanted = rows if only is None else rows.join(only, "doc_id", "left_semi")
+    return WordBag(norm="l2", tf="log", idf=None).transform(wanted, d)
 
 
 def _samples(spark, sf_dir, y="toxic"):
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(y).alias("y"))
-    features = _features(spark, sf_dir)
-    known = features.join(labels.select("doc_id"), "doc_id", "left_semi")
-    return M.gathered(known, labels)
+    return M.gathered(_features(spark, sf_dir, labels.select("doc_id")), labels)
 
 
 @query("select event_id, round(1 / (1 + exp(-greatest(-35, least(35, value)))), 6) as p from events")
