@@ -8,7 +8,7 @@ from functools import lru_cache
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import filled, normalize_default, tokens
@@ -128,9 +128,7 @@ def split_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     Rows are counted in ranges of keys and shifted by the ranges' sizes, so
     only the list of ranges is sorted by one task.
     """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()).persist()
+    parts = written(df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

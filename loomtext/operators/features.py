@@ -99,8 +99,8 @@ class WordBag:
     def _grams(self, docs: DataFrame, *known) -> DataFrame:
         """N-grams are built from each document's array before it is exploded, so that rows stay small."""
         weights = self.ngram_weights or (1.0,) * self.hash_ngrams
-        most = F.lit(self.hash_ngrams - 1)
-        gram = lambda w, x: F.transform(F.sequence(F.lit(0), F.least(most, x)), lambda y: F.struct(x.alias("x"), y.alias("y"), w.alias("word"), F.array_join(F.slice("tokens", x - y + 1, y + 1), " ").alias("g")))
+        joined = lambda x, y: F.concat_ws(" ", *[F.get("tokens", x - k) for k in range(y, -1, -1)])
+        gram = lambda w, x: F.slice(F.array(*[F.struct(x.alias("x"), F.lit(y).alias("y"), w.alias("word"), joined(x, y).alias("g")) for y in range(self.hash_ngrams)]), 1, x + 1)
         each = docs.select("doc_id", F.explode(F.flatten(F.transform("tokens", gram))).alias("e")).select("doc_id", "e.*")
         at = self._weighed(each, *known)
         wt = F.lit(None).cast("double")
@@ -123,7 +123,8 @@ class WordBag:
 
 
 def _grams_of(tokens: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """All n-grams of an array of at least n tokens; get() is used since slice() copies the array each time."""
+    return F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
 
 
 def word_hash(docs: DataFrame, n_features: int = 1 << 20, ngrams: tuple[int, int] = (1, 1), norm: str | None = "l2", signed: bool = True, binary: bool = False, seed: int = 0, text: str = "text") -> DataFrame:

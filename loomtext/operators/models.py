@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import sigmoid
 from loomtext.operators.dictionary import sized_broadcast
+from loomtext.session import written
 
 
 def _link(name: str, x: float) -> float:
@@ -274,6 +275,8 @@ def fit_averaged(samples: DataFrame, make: Callable[[], FTRL], size: int, epochs
     bounds what is broadcast.
     """
     sc = samples.sparkSession.sparkContext
+    samples = written(samples, "samples")
+    total = float(samples.count())
     state = pd.DataFrame({"i": [], "z": [], "n": []}, dtype=float).astype({"i": "int64"})
     for _ in range(epochs):
         shared = sc.broadcast(state)
@@ -286,11 +289,9 @@ def fit_averaged(samples: DataFrame, make: Callable[[], FTRL], size: int, epochs
             if seen:
                 yield m.state()[["i", "z", "n"]].assign(rows=float(seen))
 
-        parts = samples.mapInPandas(train, "i long, z double, n double, rows double").persist()
-        total = float(parts.groupBy("rows").agg(F.count("*").alias("c")).count() and samples.count())
+        parts = samples.mapInPandas(train, "i long, z double, n double, rows double")
         mean = parts.groupBy("i").agg((F.sum(F.col("z") * F.col("rows")) / total).alias("z"), (F.sum(F.col("n") * F.col("rows")) / total).alias("n"))
         state = mean.toPandas()
-        parts.unpersist()
     m = make().load(state, size)
     return samples.sparkSession.createDataFrame(m.state())
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions.hashing import murmur3_sql
-from loomtext.operators.compose import hstack_vectors
+from loomtext.operators.compose import TextPipeline, hstack_vectors
 from loomtext.operators.dictionary import Dictionary, doc_frequencies
 from loomtext.operators.features import WordBag, WordSeq, WordVec, encode_categories, hash_columns, to_vectors, word_hash
-from loomtext.operators.spelling import Tokenizer, corrections, deletion_index, stemmed
+from loomtext.operators.spelling import Tokenizer, corrections, deletion_index, porter, stemmed
 from loomtext.plans.registry import query, read
 
 NORM_SQL = "array_to_string(list_filter(string_split(trim(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda x: length(x) > 1), ' ')"
@@ -233,6 +233,35 @@ def wordhash(spark, sf_dir):
     return word_hash(read(spark, sf_dir, "documents"), 1 << 20).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
+_WORDS2 = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]{2,}')"
+
+
+@query(
+    f"""with t as (select doc_id, {_WORDS2} as w from documents),
+grams as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as g from t),
+each as (select doc_id, g, count(*) as c from grams group by doc_id, g), {murmur3_sql("each", "g")},
+summed as (select doc_id, abs(h) % 33554432 as idx, sum(c * case when h >= 0 then 1.0 else -1.0 end) as val from each join mm on g = mm.w group by 1, 2)
+select doc_id, idx, round(case when sum(val * val) over (partition by doc_id) = 0 then val else val / sqrt(sum(val * val) over (partition by doc_id)) end, 6) as val from summed"""
+)
+def wordhash_bigrams(spark, sf_dir):
+    return word_hash(read(spark, sf_dir, "documents"), 1 << 25, (1, 2)).select("doc_id", "idx", F.round("val", 6).alias("val"))
+
+
+@query()
+def wordbag_stemmed(spark, sf_dir):
+    """Corrected, stemmed, pruned and weighted: the longest chain of steps."""
+    p = TextPipeline(tokenizer=Tokenizer(2, 2, stem=porter), dictionary=Dictionary(min_df=10, max_words=1_000_000), extractor=WordBag(tf="binary", idf=50.0))
+    return p.fit_transform(read(spark, sf_dir, "documents")).select("doc_id", "idx", F.round("val", 6).alias("val"))
+
+
+@query()
+def stemmed_first_word_mean(spark, sf_dir):
+    """Mean text length by the stem of the first word; stems are computed once for each distinct word."""
+    rows = read(spark, sf_dir, "documents").select(T.first_word(T.normalize_default(F.col("text"))).alias("word"), F.length("text").alias("n"))
+    stems = rows.select("word").distinct().withColumn("stem", stemmed(F.col("word")))
+    return rows.groupBy("word").agg(F.sum("n").alias("s"), F.count("n").alias("c")).join(stems, "word").groupBy("stem").agg((F.sum("s") / F.sum("c")).alias("mean"))
+
+
 _SEQ_DICT = f"with {TURN_SQL}, {DFS_SQL}, dict as (select word, id from (select word, row_number() over (order by df desc, word desc) as id from dfs) where id <= 500), {EACH_SQL}"
 _SEQ = f"{_SEQ_DICT}, seq as (select doc_id, list(coalesce(id, 501) order by x) as ids from each left join dict using (word) group by doc_id)"
 
