@@ -163,7 +163,7 @@ def _monolith(folder: str) -> Callable:
 def write_monoliths(pages: DataFrame, folder: str, *, files: int, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(file, records): the pages as ``files`` WARCs at most, each one gzip stream, by id within."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("f", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(files)))
-    dealt = rows.repartition(files, "f").sortWithinPartitions("f", "page_id", "url", "html")
+    dealt = rows.repartitionById(files, F.col("f").cast("int")).sortWithinPartitions("f", "page_id", "url", "html")
     return written(dealt.mapInArrow(_monolith(folder), "file string, records long"), "monoliths")
 
 
@@ -208,7 +208,7 @@ def normalise_files(spark: SparkSession, source: str, target: str, names: DataFr
     """
     each = names.select("file").distinct()
     n = max(1, each.count())
-    return written(each.repartition(n, "file").mapInArrow(_normaliser(source, target, level), INDEX), "warc-index")
+    return written(each.repartitionByRange(n, "file").mapInArrow(_normaliser(source, target, level), INDEX), "warc-index")
 
 
 def rewrite_pages(pages: DataFrame, *, file_bytes: int = 16 << 20, **columns) -> DataFrame:
