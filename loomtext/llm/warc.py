@@ -21,6 +21,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,13 +131,14 @@ def _into_place(store: fs.FileSystem, draft: str, path: str) -> None:
     store.move(draft, path)
 
 
-def _monolith(folder: str) -> Callable:
-    """Rows come sorted by file number f; each file is one gzip stream."""
+def _monolith(folder: str, file_bytes: int) -> Callable:
+    """Each task's rows as files of one gzip stream each; another begins after ``file_bytes`` of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _at(folder)
         store.create_dir(path)
-        now, name, draft, sink, machine, n = None, "", "", None, None, 0
+        task = TaskContext.get().partitionId()
+        number, name, draft, sink, machine, n, size = 0, "", "", None, None, 0, 0
 
         def close() -> pa.RecordBatch:
             sink.write(machine.flush())
@@ -145,26 +147,27 @@ def _monolith(folder: str) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "records"])
 
         for b in batches:
-            for f, page, url, html in zip(b.column("f").to_pylist(), b.column("page_id"), b.column("url"), b.column("html")):
-                if f != now:
-                    if sink is not None:
-                        yield close()
-                    now, name, n = f, f"{f:08d}.warc.gz", 0
+            for page, url, html in zip(b.column("page_id"), b.column("url"), b.column("html")):
+                if sink is None:
+                    name, n, size = f"{task:07d}-{number:05d}.warc.gz", 0, 0
                     draft = f"{path}/.{name}-{uuid.uuid4().hex}"
-                    sink, machine = store.open_output_stream(draft, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
-                sink.write(machine.compress(record("resource", url.as_py(), str(page.as_py()), (html.as_py() or "").encode())))
-                n += 1
+                    sink, machine = store.open_output_stream(draft, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
+                whole = record("resource", url.as_py(), str(page.as_py()), (html.as_py() or "").encode())
+                sink.write(machine.compress(whole))
+                n, size = n + 1, size + len(whole)
+                if size >= file_bytes:
+                    yield close()
+                    sink, number = None, number + 1
         if sink is not None:
             yield close()
 
     return run
 
 
-def write_monoliths(pages: DataFrame, folder: str, *, files: int, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(file, records): the pages as ``files`` WARCs at most, each one gzip stream, by id within."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("f", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(files)))
-    dealt = rows.repartitionById(files, F.col("f").cast("int")).sortWithinPartitions("f", "page_id", "url", "html")
-    return written(dealt.mapInArrow(_monolith(folder), "file string, records long"), "monoliths")
+def write_monoliths(pages: DataFrame, folder: str, *, file_bytes: int = 16 << 20, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(file, records): the pages as WARCs of one gzip stream each, written where they are read, without a shuffle."""
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return written(rows.mapInArrow(_monolith(folder, file_bytes), "file string, records long"), "monoliths")
 
 
 INDEX = "file string, record long, offset long, length long, type string, id string, url string, bytes long, sha1 string"
@@ -220,10 +223,8 @@ def rewrite_pages(pages: DataFrame, *, file_bytes: int = 16 << 20, **columns) ->
     aren't read. ``bytes`` and ``sha1`` are of the body.
     """
     spark = pages.sparkSession
-    html = columns.get("html", "html")
-    total = pages.agg(F.sum(F.octet_length(F.col(html)) + 256)).first()[0] or 0
     before, after = fresh_path(spark, "warc-in"), fresh_path(spark, "warc-out")
-    names = write_monoliths(pages, before, files=int(total // file_bytes) + 1, **columns)
+    names = write_monoliths(pages, before, file_bytes=file_bytes, **columns)
     index = normalise_files(spark, before, after, names)
     kind = pages.schema[columns.get("page_id", "page_id")].dataType.simpleString()
     number = F.regexp_extract("id", r"^<urn:x-page:(.*)>$", 1)

@@ -337,7 +337,8 @@ def test_members_round_trip(spark, tmp_path):
 def test_rewritten_pages_can_be_read_by_offset(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "".join(prose(80))) for i in range(60)], "page_id long, url string, html string")
     before, after = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
-    names = W.write_monoliths(pages, before, files=4)
+    names = W.write_monoliths(pages, before, file_bytes=9_000)
+    assert names.count() > 3
     assert names.agg(F.sum("records")).first()[0] == 60
     index = W.normalise_files(spark, before, after, names).collect()
     html = {f"<urn:x-page:{r.page_id}>": r.html for r in pages.collect()}
