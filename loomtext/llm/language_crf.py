@@ -85,6 +85,15 @@ def evidence(weights: np.ndarray, table: np.ndarray, grams: np.ndarray, begin: n
     return out
 
 
+def _by_label(weights: np.ndarray, table: np.ndarray, grams: np.ndarray, begin: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """evidence() with a label's temporary arrays at a time."""
+    out = np.empty((len(table), weights.shape[1]))
+    for j in range(weights.shape[1]):
+        own = np.ascontiguousarray(weights[:, j])
+        out[:, j] = own[table].sum(axis=1) + np.add.reduceat(own[grams], begin) / root
+    return out
+
+
 def marginals(e: np.ndarray, restart: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Posterior label probabilities of each word; ``restart`` marks the first words of texts."""
     n, labels = e.shape
@@ -162,6 +171,7 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
         codes[top[counts[top, label] > 1]] |= 1 << label
     lexicon, codes = vocabulary[codes > 0], codes[codes > 0]
     table, grams, begin, times = features(w, first, lexicon, codes)
+    table, grams, root = table.astype(np.int32), grams.astype(np.int32), np.sqrt(times)
     cuts, owner = [], np.repeat(np.arange(len(texts)), w.counts)
     at = 0
     while at < n:  # fragments within texts
@@ -177,12 +187,12 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
     weights, transitions, start = np.zeros((SPACE, k)), np.zeros((k, k)), np.zeros(k)
     params = [weights, transitions, start]
     mean, square = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    hits = np.eye(k)[gold]
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[:-1], gold[1:]), 1)
     for step in range(1, rounds + 1):
-        e = evidence(weights, table, grams, begin, times)[word]
-        p = np.exp(e - e.max(axis=2, keepdims=True))
+        p = _by_label(weights, table, grams, begin, root)[word]  # a label at a time: the driver's memory is small
+        p -= p.max(axis=2, keepdims=True)
+        np.exp(p, out=p)
         t = np.exp(transitions)
         alpha, beta = np.empty_like(p), np.ones_like(p)
         alpha[0] = p[0] * np.exp(start)
@@ -197,15 +207,16 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
             pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             beta[i] = nxt @ t.T
             beta[i] /= beta[i].max(axis=1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(axis=2, keepdims=True)
-        error = (hits - post).reshape(-1, k)
-        by_word = np.stack([np.bincount(word.ravel(), error[:, j], len(vocabulary)) for j in range(k)], axis=1)
+        alpha *= beta
+        del p, beta
+        alpha /= alpha.sum(axis=2, keepdims=True)
         g = np.zeros_like(weights)
-        spread = np.repeat(by_word / np.sqrt(times)[:, None], times, axis=0)
         for j in range(k):
-            g[:, j] = np.bincount(table.ravel(), np.repeat(by_word[:, j], table.shape[1]), SPACE) + np.bincount(grams, spread[:, j], SPACE)
-        grads = [g - 0.1 * weights, seen - pairs - transitions, (hits[0] - post[0]).sum(axis=0) - start]
+            by_word = np.bincount(word.ravel(), ((gold == j) - alpha[:, :, j]).ravel(), len(vocabulary))
+            g[:, j] = np.bincount(table.ravel(), np.repeat(by_word, table.shape[1]), SPACE)
+            g[:, j] += np.bincount(grams, np.repeat(by_word / root, times), SPACE)
+        grads = [g - 0.1 * weights, seen - pairs - transitions, (np.eye(k)[gold[0]] - alpha[0]).sum(axis=0) - start]
+        del alpha
         for x, dx, m, v in zip(params, grads, mean, square):
             m += 0.1 * (dx - m)
             v += 0.01 * (dx * dx - v)
