@@ -2,10 +2,11 @@
 
 A vector is represented by its ``posted`` nearest pivots in order. It is posted
 in the inverted file of each of them; as a query it opens the files of its
-``opened`` nearest. Within a file, vectors are ranked by Spearman's footrule
-between the two orders (a pivot that is missing counts as coming last), and the
-best ``rerank_share`` of them are reranked by cosine similarity. A pair is
-ranked only in the first file, in the query's order, that holds it.
+``opened`` nearest. Within a file, all vectors are ranked by cosine similarity. With a
+``rerank_share`` under 1 only that share of them is: the best by Spearman's
+footrule between the two orders (a pivot that is missing counts as coming
+last), which loses neighbours. A pair is ranked only in the first file, in the
+query's order, that holds it.
 
 Files are dealt as cells of bounded size: where a file has more than ``cell``
 vectors, its queries and its vectors are each split, and all pairs of parts are
@@ -55,6 +56,8 @@ def rank_cell(q_order: np.ndarray, q_vec: np.ndarray, q_row: np.ndarray, o_order
         for place, name in enumerate(q_order[i]):
             if name == pivot:
                 earlier = False
+            if share >= 1 and not (earlier and place < opened):
+                break  # all are reranked: their order by footrule doesn't matter
             rows, weight = inverted.get(int(name), (None, None))
             if rows is None:
                 continue
@@ -67,8 +70,7 @@ def rank_cell(q_order: np.ndarray, q_vec: np.ndarray, q_row: np.ndarray, o_order
         if not pool:
             continue
         take = min(pool, max(10 * k, int(np.ceil(share * pool))))
-        best = np.argpartition(-score, take - 1)[:take] if take < len(score) else np.arange(len(score))
-        best = best[score[best] > -5_000]
+        best = np.argpartition(-score, take - 1)[:take] if take < pool else np.flatnonzero(score > -5_000)
         similarity = o_vec[best] @ q_vec[i]
         if len(best) > k:
             least = np.partition(similarity, len(best) - k)[len(best) - k]
@@ -98,7 +100,7 @@ def _cells(width: int, opened: int, share: float, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, *, k: int = 10, pivots: int = 128, posted: int = 16, opened: int = 8, rerank_share: float = 0.5, cell: int = 20_000, width: int | None = None, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, *, k: int = 10, pivots: int = 128, posted: int = 16, opened: int = 8, rerank_share: float = 1.0, cell: int = 20_000, width: int | None = None, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, rank, neighbour_id, similarity): the k most similar other vectors of every vector.
 
     Every row is a query. Rows whose vector is null, has a null or non-finite

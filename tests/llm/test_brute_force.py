@@ -277,6 +277,20 @@ def test_neighbours_recall_against_brute_force(spark, cell):
     assert np.mean([len(found[i] & set(truth[i])) / 10 for i in range(len(x))]) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbours_recall_on_the_embeddings_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    ids, x = zip(*((r.vec_id, r.embedding) for r in table.collect()))
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    truth = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    found = defaultdict(set)
+    for q in X.neighbours(table).collect():
+        found[q.vec_id].add(q.neighbour_id)
+    assert np.mean([len(found[i] & {ids[j] for j in t}) / 10 for i, t in zip(ids, truth)]) >= 0.9
+
+
 # --- URL rules
 
 
