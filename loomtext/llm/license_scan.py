@@ -6,8 +6,10 @@ whole canonical text is hash-joined to those of known licences. Looked up are a
 document as a whole, each of its blocks (parted by blank lines) and each line,
 always as entire texts.
 
-Only texts with a word stem that every known licence has one of are reduced;
-this is checked when the known digests are made, so it leaves no match out.
+Only texts with one of ANCHOR's word stems are reduced. A stem lies within one
+word, where canonical() parts nothing, and no spelling rule makes one of other
+letters; so a text has a stem if its canonical form has. That every known
+canonical form has one is checked when the known digests are made.
 Everything runs as built-in expressions; the known digests, a table that does
 not depend on the corpus, are broadcast up to ``broadcast_known`` rows.
 """
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.license_texts import KNOWN
 
-#: Every known licence has at least one of these, whatever its spelling.
-ANCHOR = r"licen[cs]e|gplv|permission|redistribut|public domain|rights reserved|software|(released|distributed|available) under"
+#: The canonical form of every known licence has at least one of these. None reaches over a space, which may be a line or any punctuation in the text.
+ANCHOR = r"licen[cs]e|gplv|permission|redistribut|domain|reserved|software|released|distributed|available"
+#: The oracle's own filter. It leaves out texts with other than one space within a stem.
+_SQL_ANCHOR = r"licen[cs]e|gplv|permission|redistribut|public domain|rights reserved|software|(released|distributed|available) under"
 _COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by ))[^\n]*"
 #: Applied in order to canonical text with single spaces; a pattern and its replacement mean the same in Java and RE2.
 SPELLINGS = [
@@ -51,7 +55,7 @@ def canonical(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, license), the first licence in alphabetical order where two have one digest."""
     table = spark.createDataFrame(known, "license string, text string")
-    stray = table.where(~F.lower("text").rlike(ANCHOR)).first()
+    stray = table.where(~canonical(F.col("text")).rlike(ANCHOR)).first()
     if stray:
         raise ValueError(f"a known text of {stray.license} has none of the stems {ANCHOR}")
     return table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
@@ -94,11 +98,11 @@ def sql(known: list[tuple[str, str]] = KNOWN) -> str:
     rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in known)
     return f"""
 with known as (select md5({_sql_canonical("body")}) as digest, min(license) as license from (values {rows}) k(license, body) group by 1),
-docs as (select doc_id, text, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') as t from documents where regexp_matches(lower(text), '{ANCHOR}')),
+docs as (select doc_id, text, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') as t from documents where regexp_matches(lower(text), '{_SQL_ANCHOR}')),
 parts as (select doc_id, text, regexp_split_to_array(t, '\\n[ \\t]*\\n') as blocks, string_split(t, chr(10)) as lines from docs),
 units as (
   select doc_id, 'document' as scope, 0 as part, text as unit from parts
   union all select doc_id, 'block', i - 1, blocks[i] from (select doc_id, blocks, unnest(range(1, len(blocks) + 1)) as i from parts where len(blocks) > 1) where contains(blocks[i], chr(10))
   union all select doc_id, 'line', i - 1, lines[i] from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from parts where len(lines) > 1))
-select u.doc_id, u.scope, u.part::integer as part, k.license from (select *, md5({_sql_canonical("unit")}) as digest from units where regexp_matches(lower(unit), '{ANCHOR}')) u join known k using (digest)
+select u.doc_id, u.scope, u.part::integer as part, k.license from (select *, md5({_sql_canonical("unit")}) as digest from units where regexp_matches(lower(unit), '{_SQL_ANCHOR}')) u join known k using (digest)
 """

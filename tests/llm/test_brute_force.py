@@ -441,6 +441,17 @@ def test_licences(spark):
     assert same[0][0] == same[1][0]
 
 
+def test_licences_whatever_parts_their_words(spark):
+    from loomtext.llm.license_texts import KNOWN
+
+    texts = ["All rights  reserved.", "All rights\u00a0reserved.", "All rights-reserved", "All rights\nreserved.", "All rights\n(c) 2020 X\nreserved.", "Released\tunder MIT.", "Released under  the GPL-2.0.", "Distributed -- under the CC BY 4.0", "Available\nunder the ISC."]
+    apart = [t.replace(" ", " \u00a0\n* ") for _, t in KNOWN]
+    docs = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan(docs).collect() if r.scope == "document"}
+    assert [got.get(i) for i in range(len(texts))] == ["LicenseRef-All-Rights-Reserved"] * 5 + ["MIT", "GPL-2.0", "CC-BY-4.0", "ISC"]
+    assert len(got) == len(texts + apart)
+
+
 def test_chats_against_sql(spark):
     import duckdb
 
