@@ -25,7 +25,11 @@ from loomtext.llm.license_texts import KNOWN
 ANCHOR = r"licen[cs]e|gplv|permission|redistribut|domain|reserved|software|released|distributed|available"
 #: The oracle's own filter. It leaves out texts with other than one space within a stem.
 _SQL_ANCHOR = r"licen[cs]e|gplv|permission|redistribut|public domain|rights reserved|software|(released|distributed|available) under"
-_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by ))[^\n]*"
+#: Words after "copyright" at the start of a line that go on with a sentence, as the known texts' lines do wherever they are wrapped; any other is a year, a sign or a holder.
+_NOT_HOLDERS = r"notices?|holders?|owners?|laws?|interests?|licen[cs]\w*|statements?|protect\w*|infring\w*|and|or|is|in|of|to|as|for|may|shall|must"
+_COPYRIGHT = rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by )|copyright[^\p{{L}}\p{{N}}\n]+(?!({_NOT_HOLDERS})\b)[\p{{L}}\p{{N}}])[^\n]*"
+#: The oracle's, without lines that go on with a holder's name or with another sign.
+_SQL_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by ))[^\n]*"
 #: Applied in order to canonical text with single spaces; a pattern and its replacement mean the same in Java and RE2.
 SPELLINGS = [
     (r"licenc", "licens"),
@@ -87,7 +91,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, *, broadcast_kno
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{_COPYRIGHT}', '\\1', 'g')"
+    out = f"regexp_replace(lower({text}), '{_SQL_COPYRIGHT}', '\\1', 'g')"
     out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"

@@ -452,6 +452,18 @@ def test_licences_whatever_parts_their_words(spark):
     assert len(got) == len(texts + apart)
 
 
+def test_licences_below_copyright_lines(spark):
+    from loomtext.llm.license_texts import KNOWN, MIT
+
+    lines = ["Copyright OpenJS Foundation and other contributors", "Copyright Joyent, Inc.", "Copyright: 2019 X", " * Copyright [2019] X", "COPYRIGHT the authors", "Copyright (c) 2020 X", "Copyright © Örg"]
+    wrapped = [t.replace(" copyright ", "\n# copyright ").replace(" COPYRIGHT ", "\n# COPYRIGHT ") for _, t in KNOWN]
+    others = ["Copyright notices stay here.\n" + MIT, "Copyright holders may sue.\n" + MIT, "Copyright law is not a holder.\n" + MIT]
+    docs = spark.createDataFrame(list(enumerate([x + "\n" + MIT for x in lines] + wrapped + others)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan(docs).collect() if r.scope == "document"}
+    assert [got.get(i) for i in range(len(lines))] == ["MIT"] * len(lines)
+    assert set(got) == set(range(len(lines) + len(wrapped)))
+
+
 def test_chats_against_sql(spark):
     import duckdb
 
