@@ -100,6 +100,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == set(range(len(texts))) - {i for i, k in got.items() if i != k}
 
 
+def test_near_duplicates_against_exact_document_frequencies(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if r.text]
+    counts, holders = [], defaultdict(list)
+    for i, r in enumerate(rows):
+        _, g, tf = N.shingles(pa.array([r.text], pa.large_string()), 3)
+        counts.append(dict(zip(g.tolist(), tf.tolist())))
+        for x in counts[i]:
+            holders[x].append(i)
+    n = sum(map(bool, counts))
+    vectors = [{x: c * math.log1p(n / len(holders[x])) for x, c in v.items()} for v in counts]
+    shared = Counter((a, b) for own in holders.values() if len(own) <= 400 for a in own for b in own if b < a)
+    pairs = [p for p, c in shared.items() if c >= 0.2 * min(len(counts[p[0]]), len(counts[p[1]])) and weighted_jaccard(vectors[p[0]], vectors[p[1]]) >= 0.5]
+    truth = groups_of(len(rows), pairs)
+    sizes = Counter(truth)
+    want = {rows[i].doc_id: rows[r].doc_id for i, r in enumerate(truth) if sizes[r] > 1}
+    got = {r.doc_id: r.keep_id for r in N.near_duplicates(spark.createDataFrame(rows)).collect()}
+    assert sum(got.get(i) == k for i, k in want.items()) >= 0.97 * len(want) > 100
+    assert len(got.keys() - want.keys()) <= 0.01 * len(want)
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     a, b = prose(300), None
     b = a[:200] + prose(100)
