@@ -297,18 +297,44 @@ def test_neighbours_recall_against_brute_force(spark, cell):
     assert np.mean([len(found[i] & set(truth[i])) / 10 for i in range(len(x))]) >= 0.9
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1", "check_s"])
 def test_neighbours_recall_on_the_embeddings_tables(spark, sf):
     table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     ids, x = zip(*((r.vec_id, r.embedding) for r in table.collect()))
     u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
+    asked = [i for i, v in enumerate(ids) if v % 100 == 0]
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
     truth = np.argsort(-s, axis=1, kind="stable")[:, :10]
     found = defaultdict(set)
-    for q in X.neighbours(table).collect():
+    for q in X.neighbours(table, asks=F.col("vec_id") % 100 == 0).collect():
         found[q.vec_id].add(q.neighbour_id)
-    assert np.mean([len(found[i] & {ids[j] for j in t}) / 10 for i, t in zip(ids, truth)]) >= 0.9
+    assert set(found) == {ids[i] for i in asked}
+    assert np.mean([len(found[ids[i]] & {ids[j] for j in t}) / 10 for i, t in zip(asked, truth)]) >= 0.9
+
+
+def test_agreement_is_the_footrule():
+    r = np.random.default_rng(8)
+    orders = np.array([r.permutation(40)[:12] for _ in range(60)], np.int32)
+    full = 12 - X.pivot_weights(orders, 40).T.astype(int)  # the place, 12 where it is missing
+    for i in range(5):
+        footrule = np.abs(full - full[i]).sum(axis=1)
+        assert (12 * 13 - 2 * X.agreement(orders[i], X.pivot_weights(orders, 40)) == footrule).all()
+
+
+def test_cells_give_each_pair_once(spark):
+    """Without a footrule bound, all opened files together hold what a plain union of them holds."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, 16)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for cell in (20_000, 7):
+        rows = X.neighbours(table, k=400, pivots=20, length=8, posted=3, opened=5, rerank_share=1.0, cell=cell, asks=F.col("vec_id") % 50 == 0).collect()
+        got = sorted((q.vec_id, q.neighbour_id) for q in rows)
+        assert len(got) == len(set(got)) and 0 < len(got) < 8 * 399
+        if cell == 20_000:
+            want = got
+    assert got == want
 
 
 # --- URL rules
