@@ -19,17 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.license_texts import KNOWN
+from loomtext.llm.license_texts import DIGESTS, KNOWN
 
 #: The canonical form of every known licence has at least one of these. None reaches over a space, which may be a line or any punctuation in the text.
 ANCHOR = r"licen[cs]e|gplv|permission|redistribut|domain|reserved|software|released|distributed|available"
-#: The oracle's own filter. It leaves out texts with other than one space within a stem.
-_SQL_ANCHOR = r"licen[cs]e|gplv|permission|redistribut|public domain|rights reserved|software|(released|distributed|available) under"
 #: Words after "copyright" at the start of a line that go on with a sentence, as the known texts' lines do wherever they are wrapped; any other is a year, a sign or a holder.
 _NOT_HOLDERS = r"notices?|holders?|owners?|laws?|interests?|licen[cs]\w*|statements?|protect\w*|infring\w*|and|or|is|in|of|to|as|for|may|shall|must"
 _COPYRIGHT = rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by )|copyright[^\p{{L}}\p{{N}}\n]+(?!({_NOT_HOLDERS})\b)[\p{{L}}\p{{N}}])[^\n]*"
-#: The oracle's, without lines that go on with a holder's name or with another sign.
-_SQL_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by ))[^\n]*"
+#: For the oracle, whose expressions have no lookahead: the word in a sentence is marked first, then lines are dropped, then the mark becomes the word.
+_SQL_SENTENCE = rf"(^|\n)([^\p{{L}}\p{{N}}\n]*)copyright([ \t]+|[ \t]*[^\p{{L}}\p{{N}}\n© \t][^\p{{L}}\p{{N}}\n]*)(({_NOT_HOLDERS})\b)"
+_SQL_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(©|\(c\)|copyright[ \t]*(©|\(c\)|[0-9]|by )|copyright[^\p{L}\p{N}\n]+[\p{L}\p{N}])[^\n]*"
 #: Applied in order to canonical text with single spaces; a pattern and its replacement mean the same in Java and RE2.
 SPELLINGS = [
     (r"licenc", "licens"),
@@ -56,13 +55,14 @@ def canonical(text: Column) -> Column:
     return t
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license), the first licence in alphabetical order where two have one digest."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(digest, license) of the known texts and of those that are known by digest; the first licence in alphabetical order where two have one digest."""
     table = spark.createDataFrame(known, "license string, text string")
     stray = table.where(~canonical(F.col("text")).rlike(ANCHOR)).first()
     if stray:
         raise ValueError(f"a known text of {stray.license} has none of the stems {ANCHOR}")
-    return table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    whole = spark.createDataFrame(digests, "license string, digest string").select("digest", "license")
+    return table.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").unionByName(whole).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, *, broadcast_known: int = 100_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,22 +91,24 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, *, broadcast_kno
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{_SQL_COPYRIGHT}', '\\1', 'g')"
+    out = f"regexp_replace(lower({text}), '{_SQL_SENTENCE}', '\\1\\2' || chr(1) || '\\3\\4', 'g')"
+    out = f"replace(regexp_replace({out}, '{_SQL_COPYRIGHT}', '\\1', 'g'), chr(1), 'copyright')"
     out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return out
 
 
-def sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in known)
+def sql(known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> str:
+    """The same without any filter of texts or units."""
+    rows, whole = (", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in table) for table in (known, digests))
     return f"""
-with known as (select md5({_sql_canonical("body")}) as digest, min(license) as license from (values {rows}) k(license, body) group by 1),
-docs as (select doc_id, text, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') as t from documents where regexp_matches(lower(text), '{_SQL_ANCHOR}')),
+with known as (select digest, min(license) as license from (select license, md5({_sql_canonical("body")}) as digest from (values {rows}) k(license, body) union all select license, digest from (values {whole}) d(license, digest)) group by 1),
+docs as (select doc_id, text, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') as t from documents where text is not null),
 parts as (select doc_id, text, regexp_split_to_array(t, '\\n[ \\t]*\\n') as blocks, string_split(t, chr(10)) as lines from docs),
 units as (
   select doc_id, 'document' as scope, 0 as part, text as unit from parts
   union all select doc_id, 'block', i - 1, blocks[i] from (select doc_id, blocks, unnest(range(1, len(blocks) + 1)) as i from parts where len(blocks) > 1) where contains(blocks[i], chr(10))
   union all select doc_id, 'line', i - 1, lines[i] from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from parts where len(lines) > 1))
-select u.doc_id, u.scope, u.part::integer as part, k.license from (select *, md5({_sql_canonical("unit")}) as digest from units where regexp_matches(lower(unit), '{_SQL_ANCHOR}')) u join known k using (digest)
+select u.doc_id, u.scope, u.part::integer as part, k.license from (select *, md5({_sql_canonical("unit")}) as digest from units) u join known k using (digest)
 """

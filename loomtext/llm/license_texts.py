@@ -99,3 +99,27 @@ KNOWN: list[tuple[str, str]] = [
     ("MPL-2.0", MPL_HEADER),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 ] + [(name, notice.format(form)) for name, forms in _NAMES.items() for form in forms for notice in _NOTICES]
+
+#: Full texts that are known by the MD5 digest of their canonical form, with and without the appendix on how to apply them: (licence, digest).
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "4056acea06114e1022d932998ead7d61"),
+    ("Apache-2.0", "4525a229cb99e1c9328b4d590d5914e8"),
+    ("Artistic-1.0", "b1a0bb4235ffc4764b47aa02c25e2445"),
+    ("BSD-3-Clause", "e5fa5b9eb628dde5d9452b9fc3a16e67"),
+    ("CC0-1.0", "690682d9fc41bd333ecd094f871cef8d"),
+    ("GFDL-1.2", "376dbcf882e73da257f078ab9b91a24c"),
+    ("GFDL-1.3", "92c6e9875e4f0efe2f77e4b6c5079111"),
+    ("GPL-1.0", "265464a0510f7c72b67189f0f19fd19a"),
+    ("GPL-1.0", "d68f051056a57d58370f6cd4218dfa50"),
+    ("GPL-2.0", "793fb17a9af9627d66a5ed7128f86cee"),
+    ("GPL-2.0", "bee1380955cefd006411b55529598545"),
+    ("GPL-3.0", "cfad6cbf9d13f0f4d3ea3deff5326d08"),
+    ("GPL-3.0", "f72fd9e5d7ace47df4ea464d0572eb52"),
+    ("LGPL-2.0", "de0042f6be795355f1d230c75f4c4d32"),
+    ("LGPL-2.0", "ea0619404b1a10f1d04e9ff29b00926b"),
+    ("LGPL-2.1", "5e3eabace4ca53a088b2a0aa44e712aa"),
+    ("LGPL-2.1", "e6447f612752fa87397e8db629a62202"),
+    ("LGPL-3.0", "e9e61b940652e125652a586590287a89"),
+    ("MPL-1.1", "673c384cf928cfe52085a1b0e0d45c33"),
+    ("MPL-2.0", "09e335d8684454e9f06556e7ab64df95"),
+]

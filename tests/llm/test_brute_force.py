@@ -4,7 +4,9 @@ import gzip
 import io
 import math
 import random
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -468,9 +470,15 @@ def test_wrappers_keep_content_and_drop_template(spark):
 # --- the two that SQL expresses
 
 
-def test_licences(spark):
+def licences_by_sql(docs):
     import duckdb
 
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    return sorted(c.execute(sql()).fetchall())
+
+
+def test_licences(spark):
     from loomtext.llm.license_texts import APACHE_HEADER, MIT
 
     wrapped = "Copyright (c) 2020 A. Person\nCOPYRIGHT 2021 others\n\n" + "\n".join(line for w in [MIT.upper().split()] for line in [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)])
@@ -479,10 +487,7 @@ def test_licences(spark):
     got = sorted((r.doc_id, r.scope, r.part, r.license) for r in scan(docs).collect())
     assert [(d, s, x) for d, s, _, x in got] == [(0, "document", "MIT"), (1, "document", "MIT"), (3, "line", "MIT"), (7, "line", "Apache-2.0")] or (2, "block", 1, "Apache-2.0") in got
     assert {d for d, *_ in got} >= {0, 1, 3, 7} and 4 not in {d for d, *_ in got}
-    documents = docs.toPandas()  # noqa: F841
-    c = duckdb.connect()
-    c.register("documents", documents)
-    assert sorted(c.execute(sql()).fetchall()) == got
+    assert licences_by_sql(docs) == got
     same = spark.createDataFrame([("© 2020 X\nLicence, colour; sub-license v. 2.0",), ("license color sublicense version 2 0",)], "t string").select(canonical(F.col("t"))).collect()
     assert same[0][0] == same[1][0]
 
@@ -493,7 +498,9 @@ def test_licences_whatever_parts_their_words(spark):
     texts = ["All rights  reserved.", "All rights\u00a0reserved.", "All rights-reserved", "All rights\nreserved.", "All rights\n(c) 2020 X\nreserved.", "Released\tunder MIT.", "Released under  the GPL-2.0.", "Distributed -- under the CC BY 4.0", "Available\nunder the ISC."]
     apart = [t.replace(" ", " \u00a0\n* ") for _, t in KNOWN]
     docs = spark.createDataFrame(list(enumerate(texts + apart)), "doc_id long, text string")
-    got = {r.doc_id: r.license for r in scan(docs).collect() if r.scope == "document"}
+    rows = scan(docs).collect()
+    assert licences_by_sql(docs) == sorted(map(tuple, rows))
+    got = {r.doc_id: r.license for r in rows if r.scope == "document"}
     assert [got.get(i) for i in range(len(texts))] == ["LicenseRef-All-Rights-Reserved"] * 5 + ["MIT", "GPL-2.0", "CC-BY-4.0", "ISC"]
     assert len(got) == len(texts + apart)
 
@@ -505,11 +512,30 @@ def test_licences_below_copyright_lines(spark):
     wrapped = [t.replace(" copyright ", "\n# copyright ").replace(" COPYRIGHT ", "\n# COPYRIGHT ") for _, t in KNOWN]
     others = ["Copyright notices stay here.\n" + MIT, "Copyright holders may sue.\n" + MIT, "Copyright law is not a holder.\n" + MIT]
     docs = spark.createDataFrame(list(enumerate([x + "\n" + MIT for x in lines] + wrapped + others)), "doc_id long, text string")
-    got = {r.doc_id: r.license for r in scan(docs).collect() if r.scope == "document"}
+    rows = scan(docs).collect()
+    assert licences_by_sql(docs) == sorted(map(tuple, rows))
+    got = {r.doc_id: r.license for r in rows if r.scope == "document"}
     assert [got.get(i) for i in range(len(lines))] == ["MIT"] * len(lines)
     assert set(got) == set(range(len(lines) + len(wrapped)))
 
 
+def test_full_licence_texts_by_digest(spark):
+    """The digests are those of the texts that Debian ships, however they are wrapped."""
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files):
+        pytest.skip("the texts aren't here")
+    texts = [(folder / f).read_text() for f in files]
+    reflowed = ["/* " + re.sub(r"\n(?![ ]*Copyright)(?<!\n\n)", "\n * ", t).replace("license", "licence") + " */" for t in texts]
+    without = [t[: t.index("END OF TERMS AND CONDITIONS") + 27] for t in texts if "END OF TERMS AND CONDITIONS" in t]
+    docs = spark.createDataFrame(list(enumerate(texts + reflowed + without)), "doc_id long, text string")
+    rows = scan(docs).collect()
+    assert licences_by_sql(docs) == sorted(map(tuple, rows))
+    got = {r.doc_id: r.license for r in rows if r.scope == "document"}
+    names = list(files.values())
+    assert got == dict(enumerate(names + names + [n for n, t in zip(names, texts) if "END OF TERMS AND CONDITIONS" in t]))
+
+
 def test_chats_against_sql(spark):
     import duckdb
 
