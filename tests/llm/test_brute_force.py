@@ -47,14 +47,14 @@ def edited(words, share):
 
 
 def weighted_vectors(texts, size=3):
-    """TF-IDF over hashed document frequencies, with the operator's own bucket of each shingle."""
+    """TF-IDF over exact document frequencies, which the operator's tables give as long as few entries are taken."""
     vectors = []
     for t in texts:
         row, g, tf = N.shingles(pa.array([t], pa.large_string()), size)
         vectors.append(dict(zip(g.tolist(), tf.tolist())))
-    df = Counter(b for v in vectors for b in {x % (1 << 18) for x in v})
+    df = Counter(x for v in vectors for x in v)
     n = sum(bool(v) for v in vectors)
-    return [{x: c * math.log1p(n / df[x % (1 << 18)]) for x, c in v.items()} for v in vectors]
+    return [{x: c * math.log1p(n / df[x]) for x, c in v.items()} for v in vectors]
 
 
 def weighted_jaccard(a, b):
