@@ -17,7 +17,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 
 from loomtext.session import written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>'\"]")
+#: Short tags, in bounded time; what isn't one is looked at by its quotes.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>'\"<]{0,60})(?=[\s/>])(?:[^'\"<>]{0,200}+\"[^\"<>]{0,500}\"){0,12}+[^'\"<>]{0,200}+>")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe"))
 _SILENT = frozenset(("script", "style", "noscript", "template", "iframe", "head"))
 _BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {b: ("p",) for b in _BLOCK}
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "select", "body", "html", "div", "article", "section", "#root"))
-MAX_DEPTH = 150
 _SPACE = re.compile(r"\s+")
 
 
@@ -68,70 +71,139 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
 
 
+def _tag_ends(page: str) -> Callable[[int], int]:
+    """A function that finds the ``>`` of the tag that goes on at a position, outside quotes; -1 without one.
+
+    Positions are asked for in growing order. What follows each quote is found
+    once, so all calls together take time in proportion to the page.
+    """
+    known: dict[int, int] = {}
+    low, high = 0, -1  # from low to high there is no quote or >, high has one
+
+    def end(at: int) -> int:
+        nonlocal low, high
+        passed, i = [], at
+        while True:
+            if i == at and low <= at <= high:
+                r = high
+            else:
+                m = _SPECIAL.search(page, i)
+                r = m.start() if m else len(page)
+                if i == at:
+                    low, high = at, r
+            if r in known or r == len(page):
+                e = known.get(r, -1)
+                break
+            passed.append(r)
+            if page[r] == ">":
+                e = r
+                break
+            close = page.find(page[r], r + 1)
+            if close < 0:
+                e = -1
+                break
+            i = close + 1
+        for r in passed:
+            known[r] = e
+        return e
+
+    return end
+
+
 def parse(page: str) -> Node:
-    """The DOM tree of a page. Elements below MAX_DEPTH become siblings there; white space is collapsed; broken markup is taken as it comes."""
+    """The DOM tree of a page, however deep, in time in proportion to it; white space is collapsed; broken markup is taken as it comes."""
     root = Node("#root")
     stack = [root]
+    places: dict[str, list[int]] = {"#root": [0]}  # of the open elements of each tag, from the top down
+    silent = 0
+    end_of = _tag_ends(page)
     at, end = 0, len(page)
 
-    def text(raw: str, silent: bool) -> None:
+    def text(raw: str) -> None:
+        if silent:
+            return
         t = _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
-        if t and not silent:
+        if t:
             stack[-1].kids.append(Node("#text", t, digest(t)))
 
-    def pop() -> None:
-        stack.pop().seal()
+    def close(to: int) -> None:
+        nonlocal silent
+        while len(stack) > to:
+            node = stack.pop()
+            node.seal()
+            places[node.tag].pop()
+            silent -= node.tag in _SILENT
+
+    def last(tags) -> int:
+        return max((places[x][-1] for x in tags if places.get(x)), default=0)
 
+    look = 0
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:], any(x.tag in _SILENT for x in stack))
+        start = page.find("<", look)
+        if start < 0:
             break
-        if m.start() > at:
-            text(page[at : m.start()], any(x.tag in _SILENT for x in stack))
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if m.group(0).startswith("<![CDATA["):
-                text(m.group(0)[9:].removesuffix("]]>"), any(x.tag in _SILENT for x in stack))
+        m = _PLAIN.match(page, start)
+        if m:
+            to = m.end()
+        elif page.startswith("<!--", start):
+            to = page.find("-->", start + 4)
+            to = end if to < 0 else to + 3
+        elif page.startswith("<![CDATA[", start):
+            to = page.find("]]>", start + 9)
+            inside, to = (page[start + 9 :], end) if to < 0 else (page[start + 9 : to], to + 3)
+            text(page[at:start])
+            text(inside)
+            at = look = to
+            continue
+        elif page.startswith(("<!", "<?"), start):
+            to = page.find(">", start + 2)
+            to = end if to < 0 else to + 1
+        else:
+            m = _NAME.match(page, start + 1)
+            to = end_of(m.end()) + 1 if m else 0
+            if not to:  # no tag: the sign is part of the text
+                look = start + 1
+                continue
+        text(page[at:start])
+        at = look = to
+        if page[start + 1] in "!?":
             continue
-        name = name.lower()
+        name = m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    while len(stack) > i:
-                        pop()
-                    break
+            own = places.get(name)
+            if own:
+                close(own[-1])
             continue
-        closes = _CLOSES.get(name, ())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in closes:
-                while len(stack) > i:
-                    pop()
-                break
-            if stack[i].tag in _SCOPE:
-                break
+        closes = last(_CLOSES.get(name, ()))
+        if closes > last(_SCOPE):
+            close(closes)
         node = Node(name)
         stack[-1].kids.append(node)
-        if name in _VOID or m.group(3).endswith("/"):
+        if name in _VOID or page[to - 2] == "/":
             continue
         if name in _RAW:
-            close = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-            inside = page[at : close.start() if close else end]
-            at = close.end() if close else end
-            if name not in _SILENT and not any(x.tag in _SILENT for x in stack):
+            closing = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
+            inside = page[at : closing.start() if closing else end]
+            at = look = closing.end() if closing else end
+            if name not in _SILENT and not silent:
                 t = _SPACE.sub(" ", html.unescape(inside)).strip()
                 if t:
                     node.kids.append(Node("#text", t, digest(t)))
                     node.seal()
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-    while stack:
-        pop()
+        places.setdefault(name, []).append(len(stack))
+        silent += name in _SILENT
+        stack.append(node)
+    text(page[at:])
+    close(0)
     return root
 
 
+def deep() -> None:
+    """Let recursion follow trees as deep as pages are: calls between Python functions don't take the machine's stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000_000))
+
+
 _weights: dict[tuple[str, str], int] = {}
 
 
@@ -144,7 +216,9 @@ def weight(a: Node, b: Node) -> int:
     key = (a.sig, b.sig)
     w = _weights.get(key)
     if w is None:
-        w = 1 + sum(weight(a.kids[i], b.kids[j]) for i, j in pairs(a.kids, b.kids))
+        w = 1
+        for i, j in pairs(a.kids, b.kids):
+            w += weight(a.kids[i], b.kids[j])
         if len(_weights) > 500_000:
             _weights.clear()
         _weights[key] = w
@@ -233,21 +307,42 @@ def merge(template: Node, tree: Node) -> None:
 
 def bare(tree: Node) -> Node:
     """The tree without its texts, in place; their digests stay."""
-    tree.text = None
-    for k in tree.kids:
-        bare(k)
+    left = [tree]
+    while left:
+        node = left.pop()
+        node.text = None
+        left += node.kids
     return tree
 
 
 def dump(node: Node) -> list:
-    return [node.tag, node.mark, node.n, [dump(k) for k in node.kids]]
+    """Tags, marks, numbers of pages and of children, each from the top down and in order."""
+    out: list[list] = [[], [], [], []]
+    left = [node]
+    while left:
+        x = left.pop()
+        for own, value in zip(out, (x.tag, x.mark, x.n, len(x.kids))):
+            own.append(value)
+        left += x.kids[::-1]
+    return out
 
 
 def load(x: list) -> Node:
-    node = Node(x[0], None, x[1], x[2])
-    node.kids = [load(k) for k in x[3]]
-    node.seal()
-    return node
+    nodes, free = [], []
+    for tag, mark, n, kids in zip(*x):
+        node = Node(tag, None, mark, n)
+        nodes.append(node)
+        if free:
+            parent = free[-1]
+            parent[0].kids.append(node)
+            parent[1] -= 1
+            if not parent[1]:
+                free.pop()
+        if kids:
+            free.append([node, kids])
+    for node in reversed(nodes):
+        node.seal()
+    return nodes[0]
 
 
 def extract(tree: Node, template: Node | None, share: float) -> tuple[list[str], int]:
@@ -294,6 +389,7 @@ def _induce(held_nodes: int):
             held.clear()
             return out
 
+        deep()
         for b in batches:
             for host, page in zip(b.column("host").to_pylist(), b.column("html")):
                 tree = bare(parse(page.as_py() or ""))
@@ -314,6 +410,7 @@ def _induce(held_nodes: int):
 
 def _join(key: tuple, t: pa.Table) -> pa.Table:
     """One template from those of a host, the largest first."""
+    deep()
     own = sorted(t["template"].to_pylist(), key=lambda x: (-len(x), x))
     whole = load(json.loads(own[0]))
     for x in own[1:]:
@@ -330,6 +427,7 @@ def templates(pages: DataFrame, *, held_nodes: int = 1_000_000) -> DataFrame:
 def _contents(share: float, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, Node] = {}
+        deep()
         for b in batches:
             content, slots, constants = [], [], []
             own = b.column("template") if shared is None else None
