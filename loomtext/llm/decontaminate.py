@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomtext.llm.columnar import ngrams, row_slices, strings, words
 
@@ -253,6 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, min_seeds
     spark, out = docs.sparkSession, None
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", benchmark.schema[item_id].dataType), T.StructField("score", T.DoubleType())])
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for ids, texts in _parts(benchmark, item_id, item_text, part_words):
         shared = _ready(plain, ids, texts, "text", n, min_seeds, max_df_share, min_df, spread)
@@ -261,7 +263,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, min_seeds
 
         def run(batches, shared=shared):
             items = shared.value
-            item_type = pa.array(items.ids).type
             for b in batches:
                 col = strings(b.column("text"))
                 for a, z in row_slices(col):
@@ -278,7 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, min_seeds
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, min_seeds: int = 2, min_score: float = 0.5, max_df_share: float = 0.0002, min_df: int = 8, spread: float = 3.0, part_words: int = 4_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no copy of an item; see contaminated(). Rows of null text stay."""
+    """The rows of docs, all columns, that hold no copy of an item, as contaminated() finds them.
+
+    Rows of null, empty or wordless text stay, and all rows if no item has
+    words. Repeated rows go or stay alike; null ids and extra columns, whatever
+    their names, are carried along; an empty table stays empty.
+    """
     kept = docs
     for ids, texts in _parts(benchmark, item_id, item_text, part_words):
         shared = _ready(docs, ids, texts, text, n, min_seeds, max_df_share, min_df, spread)
