@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,11 +32,15 @@ from loomtext.session import fresh_path, written
 _CHUNK = 1 << 20
 
 
-def record(kind: str, uri: str | None, identity: str, body: bytes, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """One WARC/1.0 record. Line breaks in the URI are percent-encoded."""
-    head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:x-page:" + identity.encode() + b">", b"WARC-Date: " + date.encode()]
+_UNFIT = re.compile(r"[\r\n]|\A[ \t]+|[ \t]+\Z")
+
+
+def record(kind: str, uri: str | None, identity: str | None, body: bytes, date: str = "2024-01-01T00:00:00Z") -> bytes:
+    """One WARC/1.0 record. Line breaks and outer blanks in the URI are percent-encoded, in the identity all but letters and digits."""
+    urn = "urn:x-nopage" if identity is None else "urn:x-page:" + quote(identity, safe="")
+    head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <" + urn.encode() + b">", b"WARC-Date: " + date.encode()]
     if uri is not None:
-        head.append(b"WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A").encode())
+        head.append(b"WARC-Target-URI: " + _UNFIT.sub(lambda m: quote(m.group()), uri).encode())
     head += [b"Content-Type: text/html", b"Content-Length: %d" % len(body)]
     return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -91,11 +97,16 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record: " + lines[0][:80])
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = end + 4 + int(headers["content-length"]) + 4
+        headers = {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise ValueError("a record has no length")
+        size = end + 4 + int(length) + 4
         while len(held) < size:
             if not more():
                 raise ValueError("a record's body is cut off")
+        if held[size - 4 : size] != b"\r\n\r\n":
+            raise ValueError("a record doesn't end with two line breaks")
         yield headers, bytes(held[:size])
         del held[:size]
 
@@ -144,7 +155,7 @@ def _monolith(folder: str, file_bytes: int) -> Callable:
             sink.write(machine.flush())
             sink.close()
             _into_place(store, draft, f"{path}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["file", "records", "bytes"])
 
         for b in batches:
             for page, url, html in zip(b.column("page_id"), b.column("url"), b.column("html")):
@@ -152,7 +163,7 @@ def _monolith(folder: str, file_bytes: int) -> Callable:
                     name, n, size = f"{task:07d}-{number:05d}.warc.gz", 0, 0
                     draft = f"{path}/.{name}-{uuid.uuid4().hex}"
                     sink, machine = store.open_output_stream(draft, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
-                whole = record("resource", url.as_py(), str(page.as_py()), (html.as_py() or "").encode())
+                whole = record("resource", url.as_py(), page.as_py(), (html.as_py() or "").encode())
                 sink.write(machine.compress(whole))
                 n, size = n + 1, size + len(whole)
                 if size >= file_bytes:
@@ -165,12 +176,12 @@ def _monolith(folder: str, file_bytes: int) -> Callable:
 
 
 def write_monoliths(pages: DataFrame, folder: str, *, file_bytes: int = 16 << 20, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(file, records): the pages as WARCs of one gzip stream each, written where they are read, without a shuffle."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return written(rows.mapInArrow(_monolith(folder, file_bytes), "file string, records long"), "monoliths")
+    """(file, records, bytes): the pages as WARCs of one gzip stream each, written where they are read, without a shuffle."""
+    rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return written(rows.mapInArrow(_monolith(folder, file_bytes), "file string, records long, bytes long"), "monoliths")
 
 
-INDEX = "file string, record long, offset long, length long, type string, id string, url string, bytes long, sha1 string"
+INDEX = "file string, record long, offset long, length long, type string, id string, url string, bytes long, sha1 string, error string"
 
 
 def _normaliser(source: str, target: str, level: int) -> Callable:
@@ -184,9 +195,17 @@ def _normaliser(source: str, target: str, level: int) -> Callable:
                 draft, side = f"{out}/.{name}-{mark}", f"{out}/.{name}.idx-{mark}"
                 rows: list[dict] = []
                 with store.open_input_stream(f"{path}/{name}", compression=None) as read, to.open_output_stream(draft, compression=None) as sink, to.open_output_stream(side, compression=None) as index:
-                    for entry in normalise(read, sink, level):
+                    entries, n = normalise(read, sink, level), 0
+                    while True:
+                        try:
+                            entry = next(entries, None)
+                        except (ValueError, zlib.error) as e:
+                            entry = {"record": n, "error": str(e)}
+                        if entry is None:
+                            break
                         index.write(json.dumps(entry).encode() + b"\n")
                         rows.append({"file": name} | entry)
+                        n += 1
                         if len(rows) == 10_000:
                             yield _batch(rows)
                             rows = []
@@ -201,24 +220,31 @@ def _normaliser(source: str, target: str, level: int) -> Callable:
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     kinds = {"record": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "bytes": pa.int64()}
     names = [x.split()[0] for x in INDEX.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names)
 
 
-def normalise_files(spark: SparkSession, source: str, target: str, names: DataFrame, *, level: int = 6) -> DataFrame:
+def normalise_files(spark: SparkSession, source: str, target: str, names: DataFrame, *, level: int = 6, task_bytes: int = 128 << 20) -> DataFrame:
     """The index of all records of the files (column ``file``) below source, rewritten below target with sidecars.
 
-    The files are written once, when this is called. A broken file is an error that names what is wrong.
+    The files are written once, when this is called. A file that is cut off or
+    broken keeps its whole records up to there; a last row, also in its
+    sidecar, has the number of the record that failed and, as ``error``, what
+    is wrong, and nothing else. Where names has ``bytes``, tasks get about
+    ``task_bytes`` of files each, else a file each.
     """
-    each = names.select("file").distinct()
-    n = max(1, each.count())
-    return written(each.repartitionByRange(n, "file").mapInArrow(_normaliser(source, target, level), INDEX), "warc-index")
+    size = F.max("bytes") if "bytes" in names.columns else F.lit(task_bytes)
+    each = written(names.groupBy("file").agg(size.alias("bytes")), "warc-names")
+    files, total = each.agg(F.count("*"), F.sum("bytes")).first()
+    few = min(files, 4 * spark.sparkContext.defaultParallelism)
+    n = max(1, few, min(files, -(-(total or 0) // task_bytes)))
+    return written(each.select("file").repartitionByRange(n, "file").mapInArrow(_normaliser(source, target, level), INDEX), "warc-index")
 
 
 def rewrite_pages(pages: DataFrame, *, file_bytes: int = 16 << 20, **columns) -> DataFrame:
     """Pages as monolithic WARCs of about ``file_bytes``, normalised: (file, page_id, url, record, offset, length, bytes, sha1) of every page.
 
     A null page_id is kept as null, a null url is no header, a null html an
-    empty body. Line breaks in a URL come back percent-encoded. Repeated rows
+    empty body. Line breaks and outer blanks of a URL come back percent-encoded. Repeated rows
     are repeated records. Empty tables give no files and no rows; extra columns
     aren't read. ``bytes`` and ``sha1`` are of the body.
     """
@@ -227,5 +253,6 @@ def rewrite_pages(pages: DataFrame, *, file_bytes: int = 16 << 20, **columns) ->
     names = write_monoliths(pages, before, file_bytes=file_bytes, **columns)
     index = normalise_files(spark, before, after, names)
     kind = pages.schema[columns.get("page_id", "page_id")].dataType.simpleString()
-    number = F.regexp_extract("id", r"^<urn:x-page:(.*)>$", 1)
-    return index.select("file", F.when(number != "None", number).cast(kind).alias("page_id"), "url", "record", "offset", "length", "bytes", "sha1")
+    number = F.url_decode(F.regexp_extract("id", r"^<urn:x-page:(.*)>$", 1))
+    number = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "error"))).when(F.startswith("id", F.lit("<urn:x-page:")), number)
+    return index.select("file", number.cast(kind).alias("page_id"), "url", "record", "offset", "length", "bytes", "sha1")
