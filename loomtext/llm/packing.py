@@ -92,13 +92,18 @@ def combinations(full: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """argmin |a x - b| over x >= 0, by Lawson and Hanson's active sets."""
+    """argmin |a x - b| over x >= 0, by Lawson and Hanson's active sets, until no column would lower the residual any more."""
     m, n = a.shape
     x, passive = np.zeros(n), np.zeros(n, bool)
     scale = np.abs(b).max() or 1.0
     b = b / scale
-    for _ in range(6 * m):
-        g = a.T @ (b - a @ x)
+    least = np.inf
+    while True:
+        rest = b - a @ x
+        if rest @ rest >= least * (1 - 1e-12):
+            break  # rounding is all that a further step would change
+        least = rest @ rest
+        g = a.T @ rest
         g[passive] = -np.inf
         j = int(g.argmax())
         if g[j] <= tolerance:
