@@ -181,6 +181,16 @@ def test_decontamination_against_all_alignments(spark):
     assert kept == set(range(len(docs))) - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "double", "smallint"])
+def test_items_of_any_key(spark, kind):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven"), (None, "one two three four five six")], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    docs = spark.createDataFrame([("a", "so one two three four five six so"), (None, "seven eight nine ten eleven"), ("c", "no")], "doc_id string, text string")
+    got = D.contaminated(docs, items)
+    one = {"string": "1", "double": 1.0}.get(kind, 1)
+    assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert Counter((r.doc_id, r.item_id) for r in got.collect()) == Counter([("a", one), ("a", None), (None, one * 2 if kind != "string" else "2")])
+
+
 # --- packing
 
 
@@ -355,7 +365,7 @@ def test_rules_against_counting_all_combinations(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     sets = {r.page_id: (set(r.t), r.bad) for r in table.select("page_id", U.url_tokens(F.col("url")).alias("t"), "bad").collect()}
     n = len(rows)
-    common = {t for t, c in Counter(t for s, _ in sets.values() for t in s).items() if c > 0.9 * n}
+    common = {t for t, c in Counter(t for s, _ in sets.values() for t in s).items() if c == n}
     tokens = sorted({t for s, _ in sets.values() for t in s} - common)
     rules = {}
     for size in range(1, 5):
@@ -375,10 +385,24 @@ def test_rules_against_counting_all_combinations(spark):
     assert all("spam" in rows[i][1] for i in blocked if "casino" not in rows[i][1]) and len(blocked) > 80
 
 
+def test_numbers_in_urls_are_whole_segments(spark):
+    urls = ["http://a.b/en/7", "http://a.b/7abc/9", "http://a.b/7.html?x=/8", "http://a.b/123456789012345678901", "http://a.b/x?y=/7", "http://a.b/7#top", None]
+    pages = spark.createDataFrame(list(enumerate(urls * 4)), "page_id long, url string")
+    labels = spark.createDataFrame([(7, 0, 1), (9, 1, 0), (8, 1, 0), (123456789012345678, 0, 1)], "doc_id long, quality int, toxic int")
+    taken = {}
+    whole, U.mine = U.mine, lambda rows, **how: taken.update(rows=rows) or spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    try:
+        U.filter_urls(pages, labels)
+    finally:
+        U.mine = whole
+    got = Counter((urls.index(r.url), r.bad) for r in taken["rows"].collect())
+    assert got == {(0, True): 4, (1, False): 4, (2, True): 4, (5, True): 4}
+
+
 # --- WARC
 
 
-def test_members_round_trip(spark, tmp_path):
+def test_members_round_trip():
     bodies = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 50, 5000]))) for _ in range(40)] + [b"WARC/1.0\r\n\r\n" * 3, b"\r\n" * 9]
     whole = b"".join(W.record("resource", f"http://x/{i}\r\nevil: 1", str(i), b) for i, b in enumerate(bodies))
     halves = gzip.compress(whole[:1000]) + gzip.compress(whole[1000:])
@@ -414,9 +438,59 @@ def test_rewritten_pages_can_be_read_by_offset(spark, tmp_path):
     assert sum(len(p.read_text().splitlines()) for p in sidecars) == 60 and not list((tmp_path / "b").glob(".*"))
 
 
+def test_broken_files_are_rows(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    whole = b"".join(W.record("resource", f"http://x/{i}", str(i), b"body %d" % i) for i in range(30))
+    second = whole.index(b"WARC/1.0", 10)
+    files = {"cut": gzip.compress(whole)[:-40], "plain": b"no gzip at all", "good": gzip.compress(whole), "length": gzip.compress(whole.replace(b"Content-Length: 6", b"Content-Size: 6", 1)), "ends": gzip.compress(whole[: second - 2] + whole[second:]), "flipped": gzip.compress(whole)[:200] + b"\0\xff" * 9 + gzip.compress(whole)[218:], "empty": b""}
+    for name, data in files.items():
+        (tmp_path / "a" / name).write_bytes(data)
+    names = spark.createDataFrame([(n,) for n in files], "file string")
+    index = W.normalise_files(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", names).collect()
+    by = defaultdict(list)
+    for r in index:
+        by[r.file].append(r)
+    assert [r.error for r in by["good"]] == [None] * 30 and "empty" not in by
+    for name in ("cut", "plain", "length", "ends", "flipped"):
+        last = max(by[name], key=lambda r: r.record)
+        assert last.error and last.record == len(by[name]) - 1 and all(r.error is None for r in by[name] if r is not last)
+        kept = (tmp_path / "b" / name).read_bytes()
+        inflated = gzip.decompress(kept) if kept else b""
+        assert whole.startswith(inflated) and len((tmp_path / "b" / f"{name}.idx").read_text().splitlines()) == len(by[name])
+    assert by["length"][0].error == "a record has no length" and "two line breaks" in by["ends"][0].error
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double"])
+def test_pages_of_any_key_come_back(spark, kind):
+    ids = {"string": ["a\r\n\r\nb", "None", "a>\nb", "", "50% +é", None], "int": [1, -2, None], "double": [1.5, 1e300, None]}[kind]
+    urls = [" http://x/ ", "http://x/\r\n\r\nWARC/1.0", "\t", "", None, "http://é"]
+    pages = spark.createDataFrame([(x, u, f"<p>{i}") for i, x in enumerate(ids) for u in urls], f"page_id {kind}, url string, html string")
+    got = W.rewrite_pages(pages).collect()
+    assert Counter(r.page_id for r in got) == {x: len(urls) for x in ids}
+    assert {r.url for r in got} == {"%20http://x/%20", "http://x/%0D%0A%0D%0AWARC/1.0", "%09", "", None, "http://é"}
+
+
 # --- HTML
 
 
+def test_markup_at_length_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    assert H.parse("<a " * 350_000).kids[0].text.startswith("<a <a ")
+    assert H.parse("<a '\"" * 100_000).kids[0].tag == "#text"
+    assert H.parse("<p><div>" + "<b>" * 20_000 + "<p></p>" * 20_000).size == 40_003
+    assert H.parse("<b>" * 50_000 + "</i>" * 50_000 + "x").size == 50_002
+    assert time.process_time() - began < 10
+
+
+def test_pages_deeper_than_any_stack(spark):
+    pages = spark.createDataFrame([(i, "http://h/", "<div>" * 20_000 + f"<p>same</p><p>own {i}</p>") for i in range(4)], "page_id long, url string, html string")
+    for how in ({}, {"broadcast_bytes": 0, "held_nodes": 1}):
+        got = {r.page_id: (r.content, r.constants) for r in H.extract_content(pages.repartition(2), **how).collect()}
+        assert got == {i: (f"own {i}", 1) for i in range(4)}
+
+
 def matching_by_definition(a, b):
     if a.tag != b.tag:
         return 0
