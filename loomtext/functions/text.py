@@ -15,8 +15,8 @@ def filled(text: Column) -> Column:
 
 def normalize_default(text: Column) -> Column:
     """Lower-case ASCII words and numbers of more than one character, with single spaces."""
-    words = F.split(F.trim(F.lower(F.regexp_replace(filled(text), "[^A-Za-z0-9]+", " "))), " ")
-    return F.array_join(F.filter(words, lambda x: F.length(x) > 1), " ")
+    spaced = F.lower(F.regexp_replace(filled(text), "[^A-Za-z0-9]+", " "))
+    return F.trim(F.regexp_replace(spaced, "(^| )[a-z0-9](?= |$)", ""))
 
 
 def mark_numbers(text: Column) -> Column:

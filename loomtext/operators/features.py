@@ -2,18 +2,25 @@
 
 Sparse features are rows (doc_id, idx, val). Input is (doc_id, tokens) with a
 unique doc_id; documents without a feature have no rows, see ``to_vectors``.
+A document comes whole, so its features are made in its row; only if the
+dictionary is too large to be sent are tokens joined with it by shuffling.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.hashing import murmur3, sign_of, slot
+from loomtext.functions.hashing import murmur3, murmur3_array, sign_of, slot
 from loomtext.operators.dictionary import Dictionary, sized_broadcast
+from loomtext.operators.inrow import Lookup, lookup, over_tokens, summed
 
 
 def idf_weight(df: Column, doc_count: int, lift: float) -> Column:
@@ -43,6 +50,19 @@ def normalised(rows: DataFrame, norm: str | None) -> DataFrame:
     return rows.withColumn("val", F.when(total == 0, F.col("val")).otherwise(F.try_divide(F.col("val"), total)))
 
 
+def _normed(row: np.ndarray, val: np.ndarray, norm: str | None) -> np.ndarray:
+    """Values divided by their row's norm; a zero norm leaves them."""
+    if norm is None or not len(row):
+        return val
+    total = np.bincount(row, {"l0": np.ones_like(val), "l1": np.abs(val)}.get(norm, val * val))
+    total = (np.sqrt(total) if norm == "l2" else total)[row]
+    return np.divide(val, total, out=val.copy(), where=total != 0)
+
+
+def _joined_strings(*parts: pa.Array, by: str = " ") -> pa.Array:
+    return pc.binary_join_element_wise(*(p.cast(pa.large_string()) for p in parts), pa.scalar(by, pa.large_string()))
+
+
 @dataclass(frozen=True)
 class WordBag:
     """Options of a bag of words.
@@ -69,6 +89,81 @@ class WordBag:
     def transform(self, docs: DataFrame, dictionary: Dictionary) -> DataFrame:
         """(doc_id, idx, val); entries that cancel to zero stay."""
         known = dictionary.words.select("word", "id", "df")
+        found = lookup(known)
+        return self._joined(docs, dictionary, known) if found is None else self._in_rows(docs, dictionary, found)
+
+    def _in_rows(self, docs: DataFrame, dictionary: Dictionary, found: Lookup) -> DataFrame:
+        ids = np.asarray(found.values.pop("id").fill_null(-1), np.int64)
+        df = np.asarray(found.values.pop("df"), np.float64)
+        n, has_ids = dictionary.doc_count, bool((ids >= 0).any())
+        idf = np.ones(len(found))
+        if self.idf is not None:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                norm = np.log(max(1.0, self.idf + n))
+                idf = np.where(df > 0, np.log(np.maximum(1.0, self.idf + n / df)), 0) / norm if norm else np.zeros(len(found))
+        usable = idf != 0
+        if has_ids:
+            usable &= (ids >= 0) & (ids < self.hash_size)
+        strict = has_ids or self.idf is not None  # else unknown words are hashed as well
+        inside = np.ones(len(found), bool) if n == 0 else (df >= self.polys_mindf) & (df <= self.polys_maxdf * n)
+        found.values |= {"id": np.append(ids, -1), "idf": np.append(idf, 1.0), "usable": np.append(usable, not strict), "inside": np.append(inside, False)}
+        shared = docs.sparkSession.sparkContext.broadcast(found)
+        return over_tokens(docs, "idx long, val double", self._bag, shared)
+
+    def _bag(self, found: Lookup, values: pa.Array, row: np.ndarray, rows: int) -> tuple:
+        at = found.find(values)
+        use = found.values["usable"][at]
+        order = None
+        if not self.hash_ngrams:
+            hit = np.flatnonzero(use)
+            own, idx, sign, weight = row[hit], found.values["id"][at[hit]], np.ones(len(hit)), found.values["idf"][at[hit]]
+        else:
+            own, idx, sign, weight, order = (np.concatenate(x) for x in zip(*self._hashed_grams(found, values, row, at, use)))
+        if self.hash_ngrams == 0 and self.polys_window > 1:
+            order = np.zeros(len(own), np.int64)
+            parts = [(own, idx, sign, weight, order), *self._hashed_pairs(found, values, row, at, use)]
+            own, idx, sign, weight, order = (np.concatenate(x) for x in zip(*parts))
+        own, idx, v, weight = summed(own, idx, sign, weight, order)
+        size = np.abs(v)
+        if self.tf == "log":
+            v = np.log(1 + size) * np.sign(v)
+        elif self.tf == "binary":
+            v = np.sign(v)
+        elif isinstance(self.tf, float):
+            v = np.sign(v) * (self.tf + 1) * size / (self.tf + size)
+        val = _normed(own, v * weight, self.norm)
+        return own, [pa.array(idx, pa.int64()), pa.array(val, pa.float64())]
+
+    def _entries(self, grams: pa.Array, own: np.ndarray, weight: np.ndarray, order: np.ndarray) -> tuple:
+        h = murmur3_array(grams, self.seed).astype(np.int64)
+        return own, np.abs(h) % self.hash_size, np.where(h >= 0, 1.0, -1.0), weight, order
+
+    def _hashed_grams(self, found: Lookup, values: pa.Array, row: np.ndarray, at: np.ndarray, use: np.ndarray) -> Iterator[tuple]:
+        """Entries of the 1..N-grams that end with a usable word, and of pairs, each with its place in the order of adding."""
+        first = np.searchsorted(row, row)
+        place = np.arange(len(row)) - first
+        idf = found.values["idf"][at]
+        for y, w in enumerate((self.ngram_weights or (1.0,) * self.hash_ngrams)[: self.hash_ngrams]):
+            x = np.flatnonzero(use & (place >= y))
+            grams = values.take(pa.array(x)) if not y else _joined_strings(*(values.take(pa.array(x - k)) for k in range(y, -1, -1)))
+            yield self._entries(grams, row[x], np.full(len(x), float(w)) if w >= 0 else -w * idf[x], place[x] * 4096 + y)
+        if self.polys_window > 1:
+            yield from self._hashed_pairs(found, values, row, at, use)
+
+    def _hashed_pairs(self, found: Lookup, values: pa.Array, row: np.ndarray, at: np.ndarray, use: np.ndarray) -> Iterator[tuple]:
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        inside = found.values["inside"][at]
+        for y in range(1, self.polys_window):
+            x = np.flatnonzero(use & inside & (place >= y))
+            x = x[inside[x - y]]
+            one, two = values.take(pa.array(x)), values.take(pa.array(x - y))
+            less = pc.less(one, two)
+            pair = _joined_strings(pc.if_else(less, one, two), pc.if_else(less, two, one), by="#")
+            w = float(self.polys_weight) if self.polys_weight >= 0 else -self.polys_weight / np.log(1 + y)
+            yield self._entries(pair, row[x], np.full(len(x), w), place[x] * 4096 + 2048 + y)
+
+    def _joined(self, docs: DataFrame, dictionary: Dictionary, known: DataFrame) -> DataFrame:
+        """The same by joins, for dictionaries of any size."""
         rows = known.count()
         has_ids = not known.where("id is not null").isEmpty()
         n = dictionary.doc_count
@@ -122,24 +217,26 @@ class WordBag:
         return self._hashed(each.select("doc_id", "x", "y", pair.alias("g"), wt.alias("wt")), 1)
 
 
-def _grams_of(tokens: str, n: int) -> Column:
-    """All n-grams of an array of at least n tokens; get() is used since slice() copies the array each time."""
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
-
-
 def word_hash(docs: DataFrame, n_features: int = 1 << 20, ngrams: tuple[int, int] = (1, 1), norm: str | None = "l2", signed: bool = True, binary: bool = False, seed: int = 0, text: str = "text") -> DataFrame:
     """Hashed counts of lower-cased words of two or more characters, without a dictionary."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[A-Za-z0-9_]{2,}"), 0)
-    base = docs.select("doc_id", words.alias("tokens"))
-    parts = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        parts.append(F.when(F.size("tokens") >= n, _grams_of("tokens", n)).otherwise(F.array().cast("array<string>")))
-    each = base.select("doc_id", F.explode(F.concat(*parts)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").cast("double").alias("c"))
-    h = each.withColumn("h", murmur3(F.col("g"), seed))
-    summed = h.groupBy("doc_id", slot(F.col("h"), n_features).alias("idx")).agg(F.sum(F.col("c") * (sign_of(F.col("h")) if signed else F.lit(1.0))).alias("val"))
-    if binary:
-        summed = summed.withColumn("val", F.when(F.col("val") != 0, 1.0).otherwise(0.0))
-    return normalised(summed, norm)
+
+    def bag(_, values: pa.Array, row: np.ndarray, rows: int) -> tuple:
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        own, hashes = [], []
+        for n in range(ngrams[0], ngrams[1] + 1):
+            x = np.flatnonzero(place >= n - 1)
+            coded = pc.dictionary_encode(values.take(pa.array(x)) if n == 1 else _joined_strings(*(values.take(pa.array(x - k)) for k in range(n - 1, -1, -1))))
+            hashes.append(murmur3_array(coded.dictionary, seed).astype(np.int64)[np.asarray(coded.indices, np.int64)])
+            own.append(row[x])
+        own, h = np.concatenate(own), np.concatenate(hashes)
+        sign = np.where(h >= 0, 1.0, -1.0) if signed else np.ones(len(h))
+        own, idx, val, _ = summed(own, np.abs(h) % n_features, sign, sign, None)
+        val = _normed(own, (val != 0).astype(float) if binary else val, norm)
+        return own, [pa.array(idx, pa.int64()), pa.array(val, pa.float64())]
+
+    shared = docs.sparkSession.sparkContext.broadcast(None)
+    return over_tokens(docs.select("doc_id", words.alias("tokens")), "idx long, val double", bag, shared)
 
 
 @dataclass(frozen=True)
@@ -155,15 +252,33 @@ class WordSeq:
     def transform(self, docs: DataFrame, dictionary: Dictionary) -> DataFrame:
         """(doc_id, ids) for every document."""
         known = dictionary.encoded().select("word", "id")
-        each = docs.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(sized_broadcast(known, known.count()), "word", "inner" if self.remove_oov else "left")
-        listed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(dictionary.oov())).alias("id")))).alias("x"))
-        ids = F.coalesce(F.transform("x", lambda x: x["id"]), F.array().cast("array<bigint>"))
+        found = lookup(known)
+        listed, ids = self._joined(docs, known, dictionary.oov()) if found is None else self._in_rows(docs, found, dictionary.oov())
         if self.maxlen is not None:
             m = F.lit(self.maxlen)
             cut = F.slice(ids, F.greatest(F.size(ids) - m + 1, F.lit(1)), m) if self.trunc_start else F.slice(ids, 1, m)
             pad = F.array_repeat(F.lit(self.pad_id).cast("bigint"), F.greatest(m - F.size(ids), F.lit(0)))
             ids = F.concat(pad, cut) if self.pad_start else F.concat(cut, pad)
-        return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", ids.alias("ids"))
+        return listed.select("doc_id", ids.alias("ids"))
+
+    def _in_rows(self, docs: DataFrame, found: Lookup, oov: int) -> tuple[DataFrame, Column]:
+        found.values["id"] = np.append(np.asarray(found.values["id"], np.int64), oov)
+        drop = self.remove_oov
+
+        def run(found: Lookup, values: pa.Array, row: np.ndarray, rows: int) -> tuple:
+            at = found.find(values)
+            if drop:
+                row, at = row[at >= 0], at[at >= 0]
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=rows))).astype(np.int32)
+            return None, [pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.values["id"][at]))]
+
+        listed = over_tokens(docs, "x array<bigint>", run, docs.sparkSession.sparkContext.broadcast(found))
+        return listed, F.col("x")
+
+    def _joined(self, docs: DataFrame, known: DataFrame, oov: int) -> tuple[DataFrame, Column]:
+        each = docs.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(known, "word", "inner" if self.remove_oov else "left")
+        listed = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(oov)).alias("id")))).alias("x"))
+        return docs.select("doc_id").join(listed, "doc_id", "left"), F.coalesce(F.transform("x", lambda x: x["id"]), F.array().cast("array<bigint>"))
 
 
 @dataclass(frozen=True)
@@ -175,7 +290,37 @@ class WordVec:
 
     def transform(self, docs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
         """(doc_id, vec) from (word, vec)."""
-        vectors = sized_broadcast(vectors.select("word", "vec"), vectors.count() * dim, 20_000_000)
+        vectors = vectors.select("word", "vec")
+        found = lookup(vectors) if vectors.count() * dim <= 20_000_000 else None
+        return self._joined(docs, vectors, dim) if found is None else self._in_rows(docs, found, dim)
+
+    def _in_rows(self, docs: DataFrame, found: Lookup, dim: int) -> DataFrame:
+        """Documents without tokens have no row. Vectors are read as doubles; missing elements are zero, further ones left out."""
+        table = np.zeros((len(found) + 1, dim))
+        for i, v in enumerate(found.values.pop("vec").to_pylist()):
+            table[i, : min(dim, len(v or []))] = [x or 0.0 for x in (v or [])[:dim]]
+        found.values["vec"] = table
+        whole = self.merge is None
+
+        def run(found: Lookup, values: pa.Array, row: np.ndarray, rows: int) -> tuple:
+            at, table = found.find(values), found.values["vec"]
+            counts = np.bincount(row, minlength=rows)
+            some = np.flatnonzero(counts)
+            if whole:
+                inner = pa.FixedSizeListArray.from_arrays(pa.array(table[at].ravel()), dim).cast(pa.list_(pa.float64()))
+                return some, [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[some])).astype(np.int32)), inner)]
+            begin = np.append(0, np.cumsum(counts))[some]
+            total = np.empty((len(some), dim))
+            for i in range(0, len(some), 256):  # the tokens' vectors of some rows at a time
+                a, z = begin[i], begin[i + 256] if i + 256 < len(some) else len(row)
+                total[i : i + 256] = np.add.reduceat(table[at[a:z]], begin[i : i + 256] - a, axis=0)
+            mean = total / counts[some][:, None]
+            return some, [pa.FixedSizeListArray.from_arrays(pa.array(mean.ravel()), dim).cast(pa.list_(pa.float64()))]
+
+        got = over_tokens(docs, "vec array<array<double>>" if whole else "vec array<double>", run, docs.sparkSession.sparkContext.broadcast(found))
+        return got if whole else got.withColumn("vec", unit(F.col("vec"), self.norm))
+
+    def _joined(self, docs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
         each = docs.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(vectors, "word", "left")
         zero = F.array_repeat(F.lit(0.0), dim)
         if self.merge is None:
@@ -200,21 +345,35 @@ def default_salt(name: str) -> str:
     return "".join(p[0] for p in re.split(r"[ |_]", name) if p)
 
 
-def hash_columns(table: DataFrame, key: str, columns: list[str], n_features: int, salts: dict[str, str] | None = None, weights: dict[str, float] | None = None, dtype_specific: bool = False, seed: int = 0) -> DataFrame:
+def hash_columns(table: DataFrame, key: str, columns: list[str], n_features: int, salts: dict[str, str] | None = None, weights: dict[str, float] | None = None, dtype_specific: bool = False, seed: int = 0, unique: bool = False) -> DataFrame:
     """(key, idx, val): every column's value and salt hashed to a slot.
 
     With dtype_specific, floating and boolean columns have one slot, and the
     value as val. Values that meet in a slot are added; nulls hash as 'null'.
+    Rows are hashed and added up where they are; those of one key are then
+    added up too, unless keys are said to be ``unique``.
     """
-    entries = []
-    for c in columns:
+    kind, texts, values, whole = table.schema[key].dataType.simpleString(), [], [], []
+    for i, c in enumerate(columns):
         salt, w = (salts or {}).get(c, default_salt(c)), float((weights or {}).get(c, 1.0))
         numeric = dtype_specific and table.schema[c].dataType.typeName() in ("double", "float", "boolean")
-        text = F.lit(salt) if numeric else F.concat(F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(salt))
-        entries.append(F.struct(text.alias("g"), (w * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if numeric else F.lit(w)).alias("val")))
-    each = table.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.g", "e.val")
-    h = each.select(key, F.pmod(murmur3(F.col("g"), seed), F.lit(n_features)).alias("idx"), "val")
-    return h.groupBy(key, "idx").agg(F.sum("val").alias("val"))
+        texts.append((F.lit(None).cast("string") if numeric else F.concat(F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(salt))).alias(f"g{i}"))
+        values.append((w * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if numeric else F.lit(w)).alias(f"v{i}"))
+        whole.append(int(murmur3_array(pa.array([salt]), seed)[0]) if numeric else None)
+    n = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.num_rows
+            if not rows:
+                continue
+            h = np.stack([np.full(rows, x) if x is not None else murmur3_array(b.column(1 + i), seed).astype(np.int64) for i, x in enumerate(whole)], axis=1)
+            v = np.stack([np.asarray(b.column(1 + n + i)) for i in range(n)], axis=1)
+            row, idx, val, _ = summed(np.repeat(np.arange(rows), n), h.ravel() % n_features, v.ravel(), v.ravel(), None)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(idx, pa.int64()), pa.array(val)], [key, "idx", "val"])
+
+    rows = table.select(key, *texts, *values).mapInArrow(run, f"{key} {kind}, idx long, val double")
+    return rows if unique else rows.groupBy(key, "idx").agg(F.sum("val").alias("val"))
 
 
 def encode_categories(table: DataFrame, key: str, column: str, max_words: int | None = None) -> DataFrame:

@@ -296,21 +296,22 @@ def _word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VEC = f"""with {DICT_SQL}, {EACH_SQL}, wv as (select word, embedding as vec from dict join embeddings on vec_id + 1 = id),
 lens as (select doc_id, count(*) as n from each group by doc_id),
 dims as (select doc_id, i, sum(v) as s from (select doc_id, generate_subscripts(vec, 1) as i, unnest(vec)::double as v from each join wv using (word)) group by doc_id, i),
-means as (select doc_id, i, s / lens.n as m from dims join lens using (doc_id)),
-normed as (select doc_id, i, m / sqrt(sum(m * m) over (partition by doc_id)) as m from means)"""
+means as (select lens.doc_id, i, coalesce(s, 0) / lens.n as m from lens cross join (select unnest(range(1, 65)) as i) left join dims using (doc_id, i)),
+totals as (select doc_id, sqrt(sum(m * m)) as t from means group by doc_id),
+normed as (select doc_id, i, case when t = 0 then m else m / t end as m from means join totals using (doc_id))"""
 
 
 @query(f"{_VEC} select doc_id, i - 1 as dim, round(m, 6) + 0.0 as x from normed")
 def wordvec_mean_l2(spark, sf_dir):
     got = WordVec().transform(doc_tokens(spark, sf_dir), _word_vectors(spark, sf_dir), 64)
-    return got.where(F.exists("vec", lambda x: x != 0)).select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+    return got.select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query(f"{_VEC} select doc_id, i - 1 as dim, round(m, 6) + 0.0 as x from normed union all select doc_id, i + 63, round(m, 6) + 0.0 from means")
 def wordvec_hstack(spark, sf_dir):
     rows, vectors = doc_tokens(spark, sf_dir), _word_vectors(spark, sf_dir)
     both = hstack_vectors(WordVec().transform(rows, vectors, 64), WordVec(norm=None).transform(rows, vectors, 64))
-    return both.where(F.exists("vec", lambda x: x != 0)).select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+    return both.select("doc_id", F.posexplode("vec").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("with v as (select o_orderpriority as v, count(*) as c from orders group by 1), r as (select v, row_number() over (order by c desc, v desc) as code from v) select o_orderkey, code from orders join r on v = o_orderpriority")
@@ -323,7 +324,7 @@ def categorical_encode(spark, sf_dir):
 select o_orderkey, ((h % 1024) + 1024) % 1024 as idx, count(*)::double as val from each join mm on g = mm.w group by 1, 2"""
 )
 def pandas_hash(spark, sf_dir):
-    return hash_columns(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"], 1024)
+    return hash_columns(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"], 1024, unique=True)
 
 
 @query(
