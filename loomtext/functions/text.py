@@ -40,13 +40,22 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(filled(text), " @[^ ]* ", " "), r"[A-Za-z0-9_]+\]", "")
 
 
-def squeeze(text: Column, patterns: list[tuple[str, str]], passes: int = 4) -> Column:
-    """Apply (pattern, replacement) pairs in order, ``passes`` times: a bounded fixpoint that stays in the plan."""
-    out = filled(text)
-    for _ in range(passes):
+def squeeze(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Apply (pattern, replacement) pairs in order, again and again until nothing changes.
+
+    Texts that don't settle in two passes get as many more as they have
+    characters, enough for pairs that shorten; each of these changes nothing
+    once the text is settled.
+    """
+
+    def once(x: Column) -> Column:
         for pattern, to in patterns:
-            out = F.regexp_replace(out, pattern, to)
-    return out
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    out = once(once(filled(text)))
+    more = F.when((once(out) == out) | (F.length(out) == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(out)))
+    return F.aggregate(more, out, lambda x, _: once(x))
 
 
 def shorten_runs(text: Column) -> Column:

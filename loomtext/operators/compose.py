@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from functools import lru_cache
 from typing import Any
 
@@ -85,6 +85,56 @@ def as_column_function(function: Callable, kind: str, cache: int | None = None)
     return call
 
 
+def batch_function(schema: str) -> Callable:
+    """A decorator: a function of pandas batches becomes one of DataFrames; other arguments are passed on."""
+
+    def decorate(function: Callable[..., pd.DataFrame]) -> Callable[..., DataFrame]:
+        def call(df: DataFrame, *args: Any, **kwargs: Any) -> DataFrame:
+            return apply_batches(df, function, schema, args=args, kwargs=kwargs)
+
+        return call
+
+    return decorate
+
+
+def group_function(group: str | list[str], schema: str, groups_per_bin: int = 200) -> Callable:
+    """A decorator: a function of bins of whole groups becomes one of DataFrames; other arguments are passed on."""
+
+    def decorate(function: Callable[..., pd.DataFrame]) -> Callable[..., DataFrame]:
+        def call(df: DataFrame, *args: Any, **kwargs: Any) -> DataFrame:
+            return apply_groups(df, function, group, schema, groups_per_bin=groups_per_bin, args=args, kwargs=kwargs)
+
+        return call
+
+    return decorate
+
+
+@dataclass
+class BatchTransformer:
+    """A fitted object's ``transform`` applied to pandas batches of rows where they are.
+
+    fit() passes all rows of a DataFrame to the object as they are, unless
+    call_fit is off: what it learns is its own matter. The object is sent to
+    the executors and should be as small as its fitted state.
+    """
+
+    transformer: Any
+    schema: str
+    call_fit: bool = True
+
+    def fit(self, df: DataFrame) -> BatchTransformer:
+        if self.call_fit:
+            self.transformer.fit(df)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        fitted = self.transformer
+        return apply_batches(df, lambda batch: fitted.transform(batch), self.schema)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+
 def stack_features(blocks: list[tuple[DataFrame, int]], weights: list[float] | None = None, key: str = "doc_id") -> DataFrame:
     """Feature blocks (rows, size) side by side: idx is shifted by the sizes before, val scaled by the block's weight. None blocks are skipped by the caller."""
     out, offset = None, 0
@@ -97,7 +147,12 @@ def stack_features(blocks: list[tuple[DataFrame, int]], weights: list[float] | N
 
 @dataclass
 class FeatureUnion:
-    """Named transformers (docs -> rows, size); 'drop' or None leaves one out."""
+    """Named transformers (docs -> rows, size); 'drop' or None leaves one out.
+
+    A transformer is a function of docs or an object with ``transform`` and,
+    to be fitted, ``fit``. Parameters are the parts by name, ``weights``, and
+    what an object has as fields, as ``name__field``.
+    """
 
     parts: list[tuple[str, Any, int]]
     weights: dict[str, float] = field(default_factory=dict)
@@ -105,8 +160,33 @@ class FeatureUnion:
     def _active(self) -> list[tuple[str, Any, int]]:
         return [p for p in self.parts if p[1] is not None and p[1] != "drop"]
 
+    def fit(self, docs: DataFrame) -> FeatureUnion:
+        """Fit the parts that can be; what fit() returns takes the part's place."""
+        self.parts = [(n, t.fit(docs) if t not in (None, "drop") and hasattr(t, "fit") else t, size) for n, t, size in self.parts]
+        return self
+
+    def fit_transform(self, docs: DataFrame, concatenate: bool = True) -> DataFrame | list[DataFrame]:
+        return self.fit(docs).transform(docs, concatenate)
+
+    def get_params(self, deep: bool = True) -> dict[str, Any]:
+        out: dict[str, Any] = {"weights": self.weights} | {n: t for n, t, _ in self.parts}
+        if deep:
+            out |= {f"{n}__{f.name}": getattr(t, f.name) for n, t, _ in self.parts if is_dataclass(t) for f in fields(t)}
+        return out
+
+    def set_params(self, **params: Any) -> FeatureUnion:
+        for name, value in params.items():
+            part, _, own = name.partition("__")
+            if name == "weights":
+                self.weights = value
+            elif part not in {n for n, _, _ in self.parts}:
+                raise ValueError(f"no part is named {part}")
+            else:
+                self.parts = [(n, (replace(t, **{own: value}) if own else value) if n == part else t, size) for n, t, size in self.parts]
+        return self
+
     def transform(self, docs: DataFrame, concatenate: bool = True) -> DataFrame | list[DataFrame]:
-        blocks = [(t(docs), size) for _, t, size in self._active()]
+        blocks = [(t.transform(docs) if hasattr(t, "transform") else t(docs), size) for _, t, size in self._active()]
         return stack_features(blocks, [self.weights.get(n, 1.0) for n, _, _ in self._active()]) if concatenate else [b for b, _ in blocks]
 
     def feature_names(self) -> list[str]:

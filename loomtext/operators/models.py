@@ -1,20 +1,24 @@
 """Online models over sparse features: FTRL, factorisation machine, small ReLU nets.
 
-The kernels update one sample after another in numpy. Three ways to train:
+The kernels update one sample after another in numpy. Three ways to train, for
+all of them:
 
 * ``fit_exact``: one ordered stream per model key, so several models (segments,
-  parameter grids) train side by side;
+  parameter grids) train side by side; samples pass through, only states are held;
 * ``fit_averaged``: replicas on partitions, averaged by rows after each epoch,
   an approximation for data that one stream can't take;
-* ``partial``: a kernel goes on from stored state, as streams of batches do.
+* ``partial_fit``: goes on from a stored state, as streams of batches do.
 
-Prediction with linear weights is a join and a sum, without Python.
+A state is a table of what differs from a fresh model of the same seed.
+Prediction with linear weights is a join and a sum, without Python; other
+models are sent to the executors, where ``predict`` applies them to rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -34,10 +38,56 @@ def _clipped(e: float, most: float) -> float:
     return min(max(e, -most), most)
 
 
+class Kernel:
+    """What all models share: parameters as named arrays of two dimensions, and their table of entries."""
+
+    SCHEMA = "name string, i long, j long, x double"
+
+    def parameters(self) -> dict[str, np.ndarray]:
+        """Views of the arrays that training changes."""
+        raise NotImplementedError
+
+    def renew(self) -> None:
+        """Let random noise begin anew, as it does with each pass over the samples."""
+        self._noise = np.random.default_rng(self.seed + 1)
+
+    def changed(self, since: dict[str, np.ndarray]) -> pd.DataFrame:
+        """(name, i, j, x) of all entries that differ from other parameters, with x as the difference."""
+        parts = []
+        for name, own in self.parameters().items():
+            i, j = np.nonzero(own != since[name])
+            parts.append(pd.DataFrame({"name": name, "i": i, "j": j, "x": own[i, j].astype(float) - since[name][i, j].astype(float)}))
+        return pd.concat(parts, ignore_index=True)
+
+    def state(self) -> pd.DataFrame:
+        """(name, i, j, x) of all entries that differ from those of a fresh model."""
+        fresh = replace(self)
+        fresh.reset(self.size)
+        out, own = self.changed(fresh.parameters()), self.parameters()
+        for name, rows in out.groupby("name").groups.items():
+            out.loc[rows, "x"] = own[name][out.i[rows], out.j[rows]].astype(float)
+        return out
+
+    def load(self, state: pd.DataFrame, size: int):
+        """A fresh model of the seed with the entries of a state."""
+        self.reset(size)
+        own = self.parameters()
+        for name, rows in state.groupby("name"):
+            own[name][rows.i.to_numpy(np.int64), rows.j.to_numpy(np.int64)] = rows.x.to_numpy()
+        return self
+
+    def add(self, deltas: pd.DataFrame) -> None:
+        own = self.parameters()
+        for name, rows in deltas.groupby("name"):
+            own[name][rows.i.to_numpy(np.int64), rows.j.to_numpy(np.int64)] += rows.x.to_numpy()
+
+
 @dataclass
-class FTRL:
+class FTRL(Kernel):
     """Follow the regularised leader, proximal. State 0 is the bias."""
 
+    SCHEMA: ClassVar[str] = "i long, z double, n double, w double"
+
     alpha: float = 0.1
     beta: float = 1.0
     l1: float = 1.0
@@ -56,8 +106,12 @@ class FTRL:
     def reset(self, size: int) -> None:
         self.size = size
         self.n = np.zeros(size + 1, self.dtype)
+        self.renew()
         self.z = (np.random.default_rng(self.seed).random(size + 1) - 0.5).astype(self.dtype) * self.init if self.init else np.zeros(size + 1, self.dtype)
 
+    def parameters(self) -> dict[str, np.ndarray]:
+        return {"z": self.z[:, None], "n": self.n[:, None]}
+
     def weights(self, i: np.ndarray | None = None) -> np.ndarray:
         z, n = (self.z[1:], self.n[1:]) if i is None else (self.z[i + 1], self.n[i + 1])
         w = (np.sign(z) * self.l1 - z) / (np.sqrt(n) / self.alpha + self.beta / self.alpha + self.l2)
@@ -100,8 +154,8 @@ class FTRL:
 
     def load(self, state: pd.DataFrame, size: int) -> FTRL:
         self.reset(size)
-        self.z[:] = 0
-        self.z[state.i.to_numpy()], self.n[state.i.to_numpy()] = state.z.to_numpy(), state.n.to_numpy()
+        at = state.i.to_numpy(np.int64)
+        self.z[at], self.n[at] = state.z.to_numpy(), state.n.to_numpy()
         return self
 
 
@@ -109,6 +163,10 @@ class FTRL:
 class FactorizationMachine(FTRL):
     """FTRL with pairwise interactions through ``rank`` factors."""
 
+    SCHEMA: ClassVar[str] = Kernel.SCHEMA
+    state = Kernel.state
+    load = Kernel.load
+
     alpha: float = 0.02
     beta: float = 0.01
     l1: float = 1e-4
@@ -126,10 +184,12 @@ class FactorizationMachine(FTRL):
 
     def reset(self, size: int) -> None:
         super().reset(size)
-        self._rng = np.random.default_rng(self.seed)
-        self.v = (self._rng.random((size, self.rank)) - 0.5) * self.init_fm
+        self.v = (np.random.default_rng(self.seed).random((size, self.rank)) - 0.5) * self.init_fm
         self.n_fm = np.zeros(size)
 
+    def parameters(self) -> dict[str, np.ndarray]:
+        return super().parameters() | {"v": self.v, "n_fm": self.n_fm[:, None]}
+
     def _raw(self, i: np.ndarray, x: np.ndarray) -> float:
         p = self.v[i] * x[:, None]
         self._sum = p.sum(axis=0)
@@ -139,7 +199,7 @@ class FactorizationMachine(FTRL):
         super()._step(i, x, e)
         if e == 0:
             return
-        rate = e * self.alpha_fm / (np.sqrt(self.n_fm[i]) + 1)
+        rate = e * x * self.alpha_fm / (np.sqrt(self.n_fm[i]) + 1)
         self.v[i] -= rate[:, None] * (self._sum - self.v[i] * (x - self.l2_fm / e)[:, None])
         self.n_fm[i] += e * e
 
@@ -149,14 +209,19 @@ class FactorizationMachine(FTRL):
         for _ in range(self.iters if iters is None else iters):
             for k, (i, x) in enumerate(rows):
                 e = _link(self.inv_link, self._raw(i, x)) - y[k]
-                e = _clipped(e, self.e_clip) if abs(e) > self.e_clip else e + (self._rng.random() - 0.5) * self.e_noise
+                e = _clipped(e, self.e_clip) if abs(e) > self.e_clip else e + (self._noise.random() - 0.5) * self.e_noise
                 self._step(i, x, e if weight is None else e * weight[k])
         return self
 
 
 @dataclass
-class ReluNet:
-    """One or two hidden ReLU layers with step sizes that shrink by the gradient seen per input."""
+class ReluNet(Kernel):
+    """One or two hidden ReLU layers with step sizes that shrink by the gradient seen per input.
+
+    Only active units learn. They do so one after another, each with the step
+    sizes that those before it have left; the units of the first layer once for
+    each active unit of the second. The last bias has steps of one size.
+    """
 
     alpha: float = 0.1
     l2: float = 0.001
@@ -173,10 +238,14 @@ class ReluNet:
 
     def reset(self, size: int) -> None:
         self.size = size
-        self._rng = np.random.default_rng(self.seed)
+        self.renew()
+        rng = np.random.default_rng(self.seed)
         layers = (size, *self.units, 1)
-        self.w = [(self._rng.random((a + 1, b)) - 0.5) * self.init for a, b in zip(layers, layers[1:])]  # the last row is the bias
-        self.c = [np.zeros(a + 1) for a in layers[:-1]]
+        self.w = [(rng.random((a + 1, b)) - 0.5) * self.init for a, b in zip(layers, layers[1:])]  # the last row is the bias
+        self.c = [np.zeros(a) for a in layers[:-1]]
+
+    def parameters(self) -> dict[str, np.ndarray]:
+        return {f"w{k}": x for k, x in enumerate(self.w)} | {f"c{k}": x[:, None] for k, x in enumerate(self.c)}
 
     def _forward(self, i: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
         out = [np.maximum(0, x @ self.w[0][i] + self.w[0][-1])]
@@ -185,16 +254,36 @@ class ReluNet:
         return [*out, out[-1] @ self.w[-1][:-1] + self.w[-1][-1]]
 
     def _step(self, i: np.ndarray, x: np.ndarray, layers: list[np.ndarray], e: float) -> None:
-        delta = np.array([e])
-        for k in range(len(self.w) - 1, -1, -1):
-            inputs, at = (x, i) if k == 0 else (layers[k - 1], np.arange(len(layers[k - 1])))
-            g = inputs[:, None] * delta
-            self.w[k][at] -= self.alpha / (np.sqrt(self.c[k][at]) + 1)[:, None] * (g + self.l2 * self.w[k][at] * (inputs != 0)[:, None])
-            self.w[k][-1] -= self.alpha / (np.sqrt(self.c[k][-1]) + 1) * delta
-            self.c[k][at] += np.abs(g).sum(axis=1)
-            self.c[k][-1] += np.abs(delta).sum()
-            if k:
-                delta = (self.w[k][:-1] @ delta) * (layers[k - 1] > 0)
+        top = self.w[-1]
+        top[-1] -= self.alpha * (e + self.l2 * top[-1])
+        if len(self.units) == 1:
+            self._first_layer(i, x, layers[0], top[:-1, 0], e)
+            return
+        seen, bias = self.c[2], self.w[1][-1]
+        for k in np.flatnonzero(layers[1] > 0):
+            g, rate = e * layers[1][k], self.alpha / (np.sqrt(seen[k]) + 1)
+            top[k, 0] -= rate * (g + self.l2 * top[k, 0])
+            below = e * top[k, 0]
+            bias[k] -= rate * (below + self.l2 * bias[k])
+            self._first_layer(i, x, layers[0], self.w[1][:-1, k], below)
+            seen[k] += abs(g)
+
+    def _first_layer(self, i: np.ndarray, x: np.ndarray, active: np.ndarray, onward: np.ndarray, e: float) -> None:
+        """All active units of the first layer side by side: what one has seen when its turn comes is a running sum."""
+        u = np.flatnonzero(active > 0)
+        if not len(u):
+            return
+        g, rate = e * active[u], self.alpha / (np.sqrt(self.c[1][u]) + 1)
+        onward[u] -= rate * (g + self.l2 * onward[u])
+        below = e * onward[u]
+        own = self.w[0]
+        own[-1, u] -= rate * (below + self.l2 * own[-1, u])
+        size = np.abs(below)
+        seen = self.c[0][i][:, None] + np.abs(x)[:, None] * (np.cumsum(size) - size)
+        at = np.ix_(i, u)
+        own[at] -= self.alpha / (np.sqrt(seen) + 1) * (x[:, None] * below + self.l2 * own[at])
+        self.c[0][i] += np.abs(x) * size.sum()
+        self.c[1][u] += np.abs(g)
 
     def partial(self, rows, y, weight=None, iters=None):
         if self.w is None:
@@ -203,7 +292,7 @@ class ReluNet:
             for k, (i, x) in enumerate(rows):
                 layers = self._forward(i, x)
                 e = _link(self.inv_link, float(layers[-1][0])) - y[k]
-                e = _clipped(e, self.e_clip) if abs(e) > self.e_clip else e + (self._rng.random() - 0.5) * self.e_noise
+                e = _clipped(e, self.e_clip) if abs(e) > self.e_clip else e + (self._noise.random() - 0.5) * self.e_noise
                 self._step(i, x, layers, e if weight is None else e * weight[k])
         return self
 
@@ -235,65 +324,148 @@ def _rows(t: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in zip(t.idx, t.val)]
 
 
-def fit_exact(samples: DataFrame, make: Callable[[], FTRL], size: int, model_key: str | None = None, order: str = "doc_id") -> DataFrame:
-    """(model, i, z, n, w): FTRL state after training in key order, one model for each value of model_key."""
+def packed(features: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, idx, val): one row for each document, for predict()."""
+    rows = gathered(features, docs.select(key, F.lit(0.0).alias("y")), key)
+    return rows.select(key, "idx", "val")
+
+
+def _pass(keyed: DataFrame, state: DataFrame | None, make: Callable[[], Kernel], size: int, order: str, epochs: int = 1) -> DataFrame:
+    """The states after passes over (model, order, y, w, idx, val) in order; each model's old state comes before its samples.
+
+    With one epoch, samples are forgotten as they pass; with more, those of a model are held.
+    """
+    fields = [x.split() for x in make().SCHEMA.split(", ")]
+    own = [f"__{n}" for n, _ in fields]
+    rows = keyed.select("model", F.lit(1).alias("__kind"), F.col(order).alias("__order"), "y", "w", "idx", "val", *[F.lit(None).cast(k).alias(c) for c, (_, k) in zip(own, fields)])
+    if state is not None:
+        old = state.select("model", F.lit(0).alias("__kind"), *[F.col(n).alias(c) for c, (n, _) in zip(own, fields)])
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    ordered = rows.repartition("model").sortWithinPartitions("model", "__kind", "__order", "y")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, name, old, held = None, None, [], []
+
+        def begun() -> Kernel:
+            m = make()
+            if old:
+                return m.load(pd.concat(old, ignore_index=True), size)
+            m.reset(size)
+            return m
+
+        def ended() -> pd.DataFrame:
+            m = model or begun()
+            for _ in range(epochs - 1):
+                m.renew()
+                for rows, y, w in held:
+                    m.partial(rows, y, w, iters=1)
+            return m.state().assign(model=name)[["model", *(n for n, _ in fields)]]
+
+        for t in batches:
+            for own_name, part in t.groupby("model", sort=True):
+                if own_name != name:
+                    if name is not None:
+                        yield ended()
+                    model, name, old, held = None, own_name, [], []
+                before, new = part[part["__kind"] == 0], part[part["__kind"] == 1]
+                if len(before):
+                    old.append(before[own].rename(columns=dict(zip(own, (n for n, _ in fields)))))
+                if len(new):
+                    model = model or begun()
+                    samples = _rows(new), new.y.to_numpy(), new.w.to_numpy()
+                    model.partial(*samples, iters=1)
+                    if epochs > 1:
+                        held.append(samples)
+        if name is not None:
+            yield ended()
+
+    return ordered.mapInPandas(run, f"model string, {make().SCHEMA}")
+
+
+def partial_fit(samples: DataFrame, state: DataFrame | None, make: Callable[[], Kernel], size: int, *, epochs: int | None = None, model_key: str | None = None, order: str = "doc_id", held_values: int = 5_000_000) -> DataFrame:
+    """(model, state): each model trained further, from its state if it has one, by ``epochs`` passes (the kernel's iters by default) in key order.
+
+    Models without new samples keep their state. Random noise begins anew with
+    each pass. An empty table gives the old states, and none without any. Where
+    no model has more than ``held_values`` values, all passes are made in one
+    job, else a job each; the states are the same.
+    """
     keyed = samples.withColumn("model", F.col(model_key).cast("string") if model_key else F.lit("all"))
+    epochs = make().iters if epochs is None else epochs
+    if epochs > 1:
+        keyed = written(keyed, "samples")
+        most = keyed.groupBy("model").agg(F.sum(F.size("idx") + 1).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= held_values:
+            return written(_pass(keyed, state, make, size, order, epochs), "model")
+    for _ in range(epochs):
+        state = written(_pass(keyed, state, make, size, order), "model")
+    return state
 
-    def train(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        m = make()
-        m.reset(size)
-        m.partial(_rows(t), t.y.to_numpy(), t.w.to_numpy())
-        return m.state().assign(model=t.model.iloc[0])[["model", "i", "z", "n", "w"]]
 
-    return keyed.groupBy("model").applyInPandas(train, "model string, i long, z double, n double, w double")
+def fit_exact(samples: DataFrame, make: Callable[[], Kernel], size: int, model_key: str | None = None, order: str = "doc_id") -> DataFrame:
+    """(model, state) after training in key order, one model for each value of model_key; FTRL's state is (i, z, n, w)."""
+    return partial_fit(samples, None, make, size, model_key=model_key, order=order)
 
 
-def fit_predict(samples: DataFrame, make: Callable, size: int, order: str = "doc_id", layer: int | None = None) -> DataFrame:
-    """(key, score) or, with ``layer``, (key, unit, score): any model trained in key order and applied to the same rows."""
+def predict(rows: DataFrame, state: DataFrame, make: Callable[[], Kernel], size: int, *, key: str = "doc_id", layer: int | None = None) -> DataFrame:
+    """(key, score) of (key, idx, val) rows or, with ``layer``, (key, unit, score) of a net's hidden units.
 
-    def train(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order)
-        m = make()
-        m.reset(size)
-        rows = _rows(t)
-        m.partial(rows, t.y.to_numpy(), t.w.to_numpy())
-        if layer is None:
-            return pd.DataFrame({order: t[order].to_numpy(), "score": m.predict(rows)})
-        out = m.predict_layer(rows, layer)
-        return pd.DataFrame({order: np.repeat(t[order].to_numpy(), out.shape[1]), "unit": np.tile(np.arange(out.shape[1]), len(out)), "score": out.ravel()})
+    The state, which size and the model's units bound, is sent to the executors.
+    Indices from size on are unknown and left out.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(state.toPandas())
 
-    kind = samples.schema[order].dataType.simpleString()
-    schema = f"{order} {kind}, score double" if layer is None else f"{order} {kind}, unit long, score double"
-    return samples.withColumn("__one", F.lit("all")).groupBy("__one").applyInPandas(lambda t: train(t), schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = make().load(shared.value, size)
+        for t in batches:
+            known = [(i[i < size], x[i < size]) for i, x in _rows(t)]
+            if not len(t):
+                continue
+            if layer is None:
+                yield pd.DataFrame({key: t[key].to_numpy(), "score": m.predict(known)})
+            else:
+                out = m.predict_layer(known, layer)
+                yield pd.DataFrame({key: np.repeat(t[key].to_numpy(), out.shape[1]), "unit": np.tile(np.arange(out.shape[1]), len(out)), "score": out.ravel()})
 
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "idx", "val").mapInPandas(run, f"{key} {kind}, score double" if layer is None else f"{key} {kind}, unit long, score double")
 
-def fit_averaged(samples: DataFrame, make: Callable[[], FTRL], size: int, epochs: int = 3) -> DataFrame:
-    """(i, z, n, w): FTRL replicas trained on each partition from a shared state, averaged by rows after each epoch.
 
-    The state has at most ``size`` + 1 rows and is sent to every task, so size
-    bounds what is broadcast.
+def fit_predict(samples: DataFrame, make: Callable, size: int, order: str = "doc_id", layer: int | None = None) -> DataFrame:
+    """(key, score) or, with ``layer``, (key, unit, score): any model trained in key order and applied to the same rows."""
+    return predict(samples, fit_exact(samples, make, size, order=order), make, size, key=order, layer=layer)
+
+
+def fit_averaged(samples: DataFrame, make: Callable[[], Kernel], size: int, epochs: int = 3, state: DataFrame | None = None) -> DataFrame:
+    """The state after replicas were trained on each partition from a shared one and their changes averaged by rows, in each epoch.
+
+    The shared state has as many entries as ``size`` and the model's units
+    allow and is sent to every task, so size bounds what is broadcast.
     """
     sc = samples.sparkSession.sparkContext
     samples = written(samples, "samples")
     total = float(samples.count())
-    state = pd.DataFrame({"i": [], "z": [], "n": []}, dtype=float).astype({"i": "int64"})
+    m = make()
+    if state is None:
+        m.reset(size)
+    else:
+        m.load(state.toPandas(), size)
     for _ in range(epochs):
-        shared = sc.broadcast(state)
+        shared = sc.broadcast(m.state())
 
         def train(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             m, seen = make().load(shared.value, size), 0
+            before = {k: x.copy() for k, x in m.parameters().items()}
             for t in batches:
                 m.partial(_rows(t), t.y.to_numpy(), t.w.to_numpy(), iters=1)
                 seen += len(t)
             if seen:
-                yield m.state()[["i", "z", "n"]].assign(rows=float(seen))
+                out = m.changed(before)
+                yield out.assign(x=out.x * (seen / total))
 
-        parts = samples.mapInPandas(train, "i long, z double, n double, rows double")
-        mean = parts.groupBy("i").agg((F.sum(F.col("z") * F.col("rows")) / total).alias("z"), (F.sum(F.col("n") * F.col("rows")) / total).alias("n"))
-        state = mean.toPandas()
-    m = make().load(state, size)
-    return samples.sparkSession.createDataFrame(m.state())
+        parts = samples.mapInPandas(train, "name string, i long, j long, x double")
+        m.add(parts.groupBy("name", "i", "j").agg(F.sum("x").alias("x")).toPandas())
+    return samples.sparkSession.createDataFrame(m.state(), m.SCHEMA)
 
 
 def predict_linear(features: DataFrame, weights: DataFrame, docs: DataFrame, link: str = "sigmoid", key: str = "doc_id") -> DataFrame:

@@ -58,14 +58,14 @@ def strip_tags(spark, sf_dir):
 
 _PAIRS = [("[!$%&*#]+", " "), ("  +", " "), (" ([.,])", "$1")]
 _squeezed = "coalesce(text, '')"
-for _ in range(3):
+for _ in range(5):
     for _p, _t in _PAIRS:
         _squeezed = f"regexp_replace({_squeezed}, '{_p}', '{_t.replace('$', chr(92))}', 'g')"
 
 
 @query(f"select doc_id, {_squeezed} as norm from documents")
 def squeeze_patterns(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text"), _PAIRS, 3).alias("norm"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text"), _PAIRS).alias("norm"))
 
 
 @query(r"select doc_id, length(text) as chars, ln(1 + length(text))::decimal(18, 6)::double as log_chars, len(list_filter(string_split(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' '), lambda x: x <> '')) as words, string_split(text, ' ')[1] as first from documents")

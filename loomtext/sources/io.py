@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import sentiment_value, strip_tags
 from loomtext.operators.dictionary import Dictionary
 from loomtext.operators.features import unit
+from loomtext.session import written
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,12 +52,13 @@ def read_word_vectors(spark: SparkSession, path: str, *, dim: int | None = None,
 
     Vectors of fewer than two numbers (headers) and, with dim, of another
     length are skipped. Words that become equal are averaged, or with
-    merge=False the last in order of the file's text wins.
+    merge=False the last line wins: of the last file by name, and in it by
+    place, which needs each file to be read by one task.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path) if merge else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value"))
     cells = F.split(F.trim("value"), " ")
     word = cells[0]
-    table = lines.select((normalize(word) if normalize else word).alias("word"), F.transform(F.slice(cells, 2, F.size(cells)), lambda x: F.try_cast(x, "double") if hasattr(F, "try_cast") else x.try_cast("double")).alias("vec"))
+    table = lines.select(*([] if merge else ["file", "place"]), (normalize(word) if normalize else word).alias("word"), F.transform(F.slice(cells, 2, F.size(cells)), lambda x: F.try_cast(x, "double") if hasattr(F, "try_cast") else x.try_cast("double")).alias("vec"))
     table = table.where((F.size("vec") >= 2) & ~F.exists("vec", lambda x: x.isNull()) & (F.col("word") != ""))
     if dim is not None:
         table = table.where(F.size("vec") == dim)
@@ -65,7 +67,7 @@ def read_word_vectors(spark: SparkSession, path: str, *, dim: int | None = None,
         rows = table.select("word", F.posexplode("vec").alias("i", "x")).groupBy("word", "i").agg(F.avg("x").alias("x"))
         table = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("word", F.col("v.x").alias("vec"))
     else:
-        table = each.agg(F.max("vec").alias("vec"))
+        table = each.agg(F.max_by("vec", F.struct("file", "place")).alias("vec"))
     return table.withColumn("vec", unit(F.col("vec"), norm))
 
 
@@ -73,19 +75,35 @@ REVIEWS = "Reviews ARRAY<STRUCT<Content: STRING, Ratings: STRUCT<Overall: STRING
 
 
 def read_reviews(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
-    """(content, label) of every ``every``-th review with an overall rating; lines that are no JSON are skipped. label = (rating - 3) / 2."""
-    rows = spark.read.schema(REVIEWS).option("mode", "DROPMALFORMED").json(path)
-    each = rows.select(F.xxhash64("Reviews").alias("r"), F.posexplode("Reviews").alias("pos", "x")).where(F.col("pos") % every == 0)
+    """(content, label) of every ``every``-th review, counted over each file's lines, if it has an overall rating; lines that are no JSON are skipped. label = (rating - 3) / 2.
+
+    With ``every`` over 1 each file's lines are put in order by one task, as
+    its reviews are counted on and on.
+    """
     rating = F.expr("try_cast(x.Ratings.Overall AS DOUBLE)")
+    if every == 1:
+        each = spark.read.schema(REVIEWS).option("mode", "DROPMALFORMED").json(path).select(F.explode("Reviews").alias("x"))
+    else:
+        lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+        read = lines.select("file", "line", F.from_json("value", REVIEWS).alias("r")).select("file", "line", F.posexplode("r.Reviews").alias("pos", "x"))
+        number = F.row_number().over(Window.partitionBy("file").orderBy("line", "pos"))
+        each = read.withColumn("k", number).where((F.col("k") - 1) % every == 0)
     return each.select(F.col("x.Content").alias("content"), ((rating - 3) * 0.5).alias("label")).where("label is not null")
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, label): one row for each distinct cleaned text, the first in the file's order of text and label."""
+    """(id, text, label): one row for each distinct cleaned text, the first in the files' order; ids count from 0 in that order.
+
+    Quoted texts may hold line breaks, so a file is read by one task; ids are
+    counted by Spark over all files.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    cleaned = rows.select(F.trim(strip_tags(F.concat(F.lit(" "), F.col("text")))).alias("text"), sentiment_value(F.col("airline_sentiment")).alias("label"))
-    one = cleaned.groupBy("text").agg(F.min("label").alias("label"))
-    return one.withColumn("id", F.xxhash64("text"))
+    cleaned = rows.select(F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("place"), F.trim(strip_tags(F.concat(F.lit(" "), F.col("text")))).alias("text"), sentiment_value(F.col("airline_sentiment")).alias("label"))
+    one = written(cleaned.groupBy("text").agg(F.min_by("label", "place").alias("label"), F.min("place").alias("place")).repartitionByRange("place").withColumn("part", F.spark_partition_id()), "tweets")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = one.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("place"))
+    return one.withColumn("own", own).join(F.broadcast(shift), "part").select((F.col("own") + F.col("shift") - 1).cast("long").alias("id"), "text", "label")
 
 
 def first_of_each(df: DataFrame, value: str, key: str) -> DataFrame:
