@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from loomtext.operators.dictionary import Dictionary
 from loomtext.operators.features import WordBag, WordSeq
 from loomtext.operators.spelling import Tokenizer
 from loomtext.plans.registry import query, read
-from loomtext.plans.text_features import _FIXED, DICT_SQL, EACH_SQL, NORM_SQL, TOK_SQL, doc_tokens, turn_tokens
+from loomtext.plans.text_features import _FIXED, _SEQ, DICT_SQL, EACH_SQL, TOK_SQL, doc_tokens, turn_tokens
 from loomtext.session import fresh_path
 from loomtext.sources import io
 from loomtext.streaming.incremental import StreamingDictionary
@@ -89,19 +91,30 @@ def apply_groupby_bins(spark, sf_dir):
     return C.apply_groups(rows, _supplier_spread, "l_suppkey", "l_suppkey long, low double, high double", groups_per_bin=20)
 
 
-_UNION = f"""with {DICT_SQL}, {EACH_SQL}, c as (select doc_id, id, count(*) as v from each join dict using (word) where id <= 200 group by 1, 2)
-select doc_id, id as idx, v::double as val from c union all select doc_id, 201, 0.5 * length(text) from documents"""
+_UNION = f"""with {DICT_SQL}, {EACH_SQL}, c as (select doc_id, id, count(*) as v from each join dict using (word) group by 1, 2)
+select doc_id, id as idx, v::double as val from c union all select doc_id, (select count(*) + 1 from dict), 0.5 * length(text) from documents"""
+
+
+@dataclass(frozen=True)
+class _Counts:
+    """Raw counts of all words."""
+
+    dictionary: Dictionary = Dictionary()
 
+    def fit(self, rows):
+        return replace(self, dictionary=self.dictionary.fit(rows))
 
-def _counts(rows, top: int):
-    return WordBag(norm=None, tf=None, idf=None).transform(rows, Dictionary(max_words=top).fit(rows))
+    def transform(self, rows):
+        return WordBag(norm=None, tf=None, idf=None).transform(rows, self.dictionary)
 
 
 @query(_UNION)
 def feature_union(spark, sf_dir):
     rows = doc_tokens(spark, sf_dir)
     docs = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("idx"), F.length("text").cast("double").alias("val"))
-    return C.FeatureUnion([("bag", lambda d: _counts(d, 200), 201), ("none", "drop", 9), ("length", lambda d: docs, 1)], {"length": 0.5}).transform(rows)
+    bag = _Counts().fit(rows)
+    size = bag.dictionary.words.count() + 1
+    return C.FeatureUnion([("bag", bag, size), ("none", "drop", 9), ("length", lambda d: docs, 1)], {"length": 0.5}).transform(rows)
 
 
 @query("select conv_id, turn as idx, count(*)::double as val from conversations group by 1, 2")
@@ -110,20 +123,98 @@ def ragged_lists(spark, sf_dir):
     return C.ragged_to_features(lists, "conv_id", "turns")
 
 
-@query(f"with {DICT_SQL}, {EACH_SQL} select doc_id, id as idx, count(*)::double as val from each join dict using (word) where id <= 100 group by 1, 2")
+@query(f"with {DICT_SQL}, {EACH_SQL} select doc_id, id as idx, count(*)::double as val from each join dict using (word) group by 1, 2")
 def feature_cache(spark, sf_dir):
     path = fresh_path(spark, "features")
     rows = doc_tokens(spark, sf_dir)
-    io.cached(spark, path, lambda: _counts(rows, 100), columns=101)
+    io.cached(spark, path, lambda: _Counts().fit(rows).transform(rows))
     return io.cached(spark, path, lambda: (_ for _ in ()).throw(AssertionError("made twice")))
 
 
-@query("select conv_id * 100000 + turn as doc_id, len(string_split(" + NORM_SQL + ", ' ')) as n from conversations")
+@query(f"{_SEQ} select doc_id, array_to_string(ids, ' ') as ids from seq")
 def sequence_round_trip(spark, sf_dir):
     path = fresh_path(spark, "sequences")
     rows = turn_tokens(spark, sf_dir)
     io.save_table(WordSeq().transform(rows, Dictionary(max_words=500).fit(rows)), path)
-    return io.load_table(spark, path)[0].select("doc_id", F.size("ids").alias("n"))
+    return io.load_table(spark, path)[0].select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+class _Centred:
+    """Numbers of characters about their mean over all rows."""
+
+    def fit(self, df):
+        self.mean = df.agg(F.avg("n_chars")).first()[0]
+
+    def transform(self, t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": t.doc_id, "x": (t.n_chars - self.mean).round(6)})
+
+
+@query("select doc_id, round(n_chars - avg(n_chars) over (), 6) as x from documents")
+def batch_transformer(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return C.BatchTransformer(_Centred(), "doc_id long, x double").fit_transform(rows)
+
+
+@query("select doc_id, n_chars * 2 + 1 as x from documents")
+def decorated_batches(spark, sf_dir):
+    @C.batch_function("doc_id long, x long")
+    def scaled(t: pd.DataFrame, by: int, plus: int = 0) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": t.doc_id, "x": t.n_chars * by + plus})
+
+    return scaled(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), 2, plus=1)
+
+
+@query("select o_custkey, max(o_orderkey) as last from orders group by 1")
+def decorated_groups(spark, sf_dir):
+    @C.group_function("o_custkey", "o_custkey long, last long")
+    def last(t: pd.DataFrame) -> pd.DataFrame:
+        return t.groupby("o_custkey").o_orderkey.max().rename("last").reset_index()
+
+    return last(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
+
+
+@query(
+    """with v as (select 'w' || vec_id % 50 as word, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::decimal(12, 3)::double as x from embeddings)
+select word, dim, round(avg(x), 6) + 0.0 as x from v group by 1, 2"""
+)
+def word_vector_file(spark, sf_dir):
+    """The embeddings as a file of word vectors, several of a word, with a header, and read again."""
+    path = fresh_path(spark, "vectors")
+    cells = F.transform("embedding", lambda x: x.cast("decimal(12,3)").cast("string"))
+    lines = read(spark, sf_dir, "embeddings").select(F.concat_ws(" ", F.concat(F.lit("W"), (F.col("vec_id") % 50).cast("string")), cells).alias("value"))
+    lines.unionByName(spark.createDataFrame([("2000 64",)], "value string")).write.option("compression", "gzip").text(path)
+    got = io.read_word_vectors(spark, path, dim=64, normalize=F.lower)
+    return got.select("word", F.posexplode("vec").alias("dim", "x")).select("word", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("select text as content, (quality * 2 + toxic - 3) * 0.5 as label from documents join labels using (doc_id)")
+def review_files(spark, sf_dir):
+    """Documents as lines of two reviews, one without a rating, with a broken line, and read again."""
+    path = fresh_path(spark, "reviews")
+    rated = F.struct(F.col("text").alias("Content"), F.struct((F.col("quality") * 2 + F.col("toxic")).cast("string").alias("Overall")).alias("Ratings"))
+    other = F.struct(F.col("text").alias("Content"), F.struct(F.lit(None).cast("string").alias("Overall")).alias("Ratings"))
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    lines = rows.select(F.to_json(F.struct(F.array(other, rated).alias("Reviews"))).alias("value"))
+    lines.unionByName(spark.createDataFrame([('{"Reviews": [',)], "value string")).write.text(path)
+    return io.read_reviews(spark, path)
+
+
+_CLEANED = r"trim(regexp_replace(regexp_replace(' ' || text, ' @[^ ]* ', ' ', 'g'), '[A-Za-z0-9_]+\]', '', 'g'))"
+
+
+@query(
+    f"""with t as (select conv_id * 100000 + turn as n, {_CLEANED} as text, case role when 'user' then 1 when 'assistant' then -1 else 0 end as label from conversations)
+select row_number() over (order by min(n)) - 1 as id, text, arg_min(label, n) as label from t group by text"""
+)
+def tweet_files(spark, sf_dir):
+    """Turns as CSV files with a header and quoted texts, and read again: the first of equal texts counts."""
+    path = fresh_path(spark, "tweets")
+    n, role = F.col("conv_id") * 100_000 + F.col("turn"), F.col("role")
+    name = F.when(role == "user", "positive").when(role == "assistant", "negative").otherwise("neutral")
+    rows = read(spark, sf_dir, "conversations").select(n.alias("n"), "text", name.alias("airline_sentiment"))
+    files = rows.repartitionByRange(4, "n").sortWithinPartitions("n").select("text", "airline_sentiment")
+    files.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.read_tweets(spark, path)
 
 
 @query(

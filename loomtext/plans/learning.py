@@ -12,20 +12,18 @@ from loomtext.operators.features import WordBag
 from loomtext.plans.registry import query, read
 from loomtext.plans.text_features import DICT_SQL, EACH_SQL, doc_tokens
 
-SIZE = 5001
-
-
 def _features(spark, sf_dir, only=None):
-    """Features of all documents, or of those in ``only``; the dictionary is of all."""
+    """Features of all documents, or of those in ``only``, and their number; the dictionary is of all."""
     rows = doc_tokens(spark, sf_dir)
-    d = Dictionary(max_words=SIZE - 1).fit(rows)
+    d = Dictionary().fit(rows)
     wanted = rows if only is None else rows.join(only, "doc_id", "left_semi")
-    return WordBag(norm="l2", tf="log", idf=None).transform(wanted, d)
+    return WordBag(norm="l2", tf="log", idf=None).transform(wanted, d), d.words.count() + 1
 
 
-def _samples(spark, sf_dir, y="toxic"):
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(y).alias("y"))
-    return M.gathered(_features(spark, sf_dir, labels.select("doc_id")), labels)
+def _samples(spark, sf_dir, y="toxic", weight=None):
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(y).alias("y"), F.max("quality").alias("quality"))
+    rows, size = _features(spark, sf_dir, labels.select("doc_id"))
+    return M.gathered(rows, labels.withColumn("weight", 1 + F.col("quality")), weight=weight), size
 
 
 @query("select event_id, round(1 / (1 + exp(-greatest(-35, least(35, value)))), 6) as p from events")
@@ -41,61 +39,131 @@ def label_maps(spark, sf_dir):
     return read(spark, sf_dir, "labels").select("doc_id", T.sentiment_value(name).alias("sign"), label.alias("label"), T.clip(label).alias("clipped"))
 
 
-_SCORE = f"""with {DICT_SQL}, {EACH_SQL}, c as (select doc_id, id, ln(1 + count(*)) as v from each join dict using (word) where id <= 5000 group by 1, 2),
+_F = f"""with {DICT_SQL}, {EACH_SQL}, c as (select doc_id, id, ln(1 + count(*)) as v from each join dict using (word) group by 1, 2),
 f as (select doc_id, id, v / sqrt(sum(v * v) over (partition by doc_id)) as v from c),
-s as (select doc_id, sum(v * (1.0 / id - 0.05)) as s from f where id % 3 <> 0 group by 1)
-select doc_id, round(1 / (1 + exp(-(coalesce(s, 0) + 0.25))), 6) as score from tok left join s using (doc_id)"""
+s as (select doc_id, sum(v * (1.0 / id - 0.05)) as s from f where id % 3 <> 0 group by 1)"""
 
 
-def _formula_weights(spark):
+def _formula_weights(spark, size: int):
     i = F.col("id")
-    return spark.range(SIZE + 1).select(F.col("id").alias("i"), F.when(i == 0, F.lit(0.25)).when((i - 1) % 3 != 0, 1.0 / F.greatest(i - 1, F.lit(1)) - 0.05).otherwise(0.0).alias("w"))
+    return spark.range(size + 1).select(F.col("id").alias("i"), F.when(i == 0, F.lit(0.25)).when((i - 1) % 3 != 0, 1.0 / F.greatest(i - 1, F.lit(1)) - 0.05).otherwise(0.0).alias("w"))
+
+
+def _linear_scores(spark, sf_dir):
+    rows, size = _features(spark, sf_dir)
+    return M.predict_linear(rows, M.finalized(_formula_weights(spark, size)), read(spark, sf_dir, "documents"))
 
 
-@query(_SCORE)
+@query(f"{_F} select doc_id, round(1 / (1 + exp(-(coalesce(s, 0) + 0.25))), 6) as score from tok left join s using (doc_id)")
 def ftrl_predict(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return M.predict_linear(_features(spark, sf_dir), M.finalized(_formula_weights(spark)), docs).select("doc_id", F.round("score", 6).alias("score"))
+    return _linear_scores(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(_SCORE.replace("select doc_id, round(1 / (1 + exp(-(coalesce(s, 0) + 0.25))), 6) as score from tok left join s using (doc_id)", "select round(avg(pow(1 / (1 + exp(-(coalesce(s, 0) + 0.25))) - quality, 2)), 6) as mse from tok left join s using (doc_id) join labels using (doc_id)"))
+@query(f"{_F} select round(avg(pow(1 / (1 + exp(-(coalesce(s, 0) + 0.25))) - quality, 2)), 6) as mse from tok left join s using (doc_id) join labels using (doc_id)")
 def mse(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    scores = M.predict_linear(_features(spark, sf_dir), M.finalized(_formula_weights(spark)), docs)
-    both = scores.join(read(spark, sf_dir, "labels"), "doc_id")
+    both = _linear_scores(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id")
     return M.mean_squared_error(both, F.col("score"), F.col("quality")).select(F.round("mse", 6).alias("mse"))
 
 
+def _entries(rows, name: str, *parts):
+    """State entries (name, i, j, x) of a model from (i, j, x) expressions over rows."""
+    return rows.select(F.lit("all").alias("model"), F.lit(name).alias("name"), *[p.cast(k).alias(n) for p, n, k in zip(parts, "ijx", ("long", "long", "double"))])
+
+
+@query(
+    f"""{_F}, p as (select doc_id, j, sum(v * ((id * (j + 2)) % 7 - 3) / 10) as t, sum(pow(v * ((id * (j + 2)) % 7 - 3) / 10, 2)) as q from f, (select unnest([0, 1, 2]) as j) group by 1, 2),
+pairs as (select doc_id, 5 * sum(t * t - q) as p from p group by 1)
+select doc_id, round(0.25 + coalesce(s, 0) + coalesce(p, 0), 6) as score from tok left join s using (doc_id) left join pairs using (doc_id)"""
+)
+def fm_predict(spark, sf_dir):
+    """A factorisation machine with given weights and factors, loaded from its state and applied to all documents."""
+    rows, size = _features(spark, sf_dir)
+    make = lambda: M.FactorizationMachine(rank=3)
+    m, i = make(), F.col("i")
+    # z for a given weight where n is 0
+    inner = -F.col("w") * (m.beta / m.alpha + m.l2) - F.signum("w") * m.l1
+    z = F.when(i == 0, -F.col("w") * m.beta / m.alpha).otherwise(inner)
+    weights = _entries(_formula_weights(spark, size), "z", i, F.lit(0), z)
+    factors = spark.range(size).withColumn("j", F.explode(F.array(*map(F.lit, range(3)))))
+    factors = _entries(factors, "v", F.col("id"), F.col("j"), ((F.col("id") * (F.col("j") + 2)) % 7 - 3) / 10)
+    got = M.predict(M.packed(rows, read(spark, sf_dir, "documents")), weights.unionByName(factors), make, size)
+    return got.select("doc_id", F.round("score", 6).alias("score"))
+
+
+_NET = f"""{_F}, u as (select unnest([0, 1, 2, 3]) as u), h as (select doc_id, u, sum(v * ((id * (u + 3)) % 11 - 5) / 20) as a from f, u group by 1, 2),
+z as (select doc_id, u, greatest(0, coalesce(a, 0) + 0.1 * u - 0.1) as z from tok cross join u left join h using (doc_id, u))"""
+
+
+def _net(spark, size: int):
+    unit = F.explode(F.array(*map(F.lit, range(4))))
+    inputs = _entries(spark.range(size).withColumn("u", unit), "w0", F.col("id"), F.col("u"), ((F.col("id") * (F.col("u") + 3)) % 11 - 5) / 20)
+    bias = _entries(spark.range(4), "w0", F.lit(size), F.col("id"), F.col("id") * 0.1 - 0.1)
+    top = _entries(spark.range(5), "w1", F.col("id"), F.lit(0), F.when(F.col("id") < 4, 0.3 - 0.2 * F.col("id")).otherwise(0.05))
+    return inputs.unionByName(bias).unionByName(top)
+
+
+@query(f"{_NET} select doc_id, round(0.05 + sum(z * (0.3 - 0.2 * u)), 6) as score from z group by doc_id")
+def nn_predict(spark, sf_dir):
+    """A net of one hidden layer with given weights, loaded from its state and applied to all documents."""
+    rows, size = _features(spark, sf_dir)
+    got = M.predict(M.packed(rows, read(spark, sf_dir, "documents")), _net(spark, size), lambda: M.relu_1(units=(4,)), size)
+    return got.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_NET} select doc_id, u::bigint as unit, round(z, 6) as score from z")
+def predict_layer(spark, sf_dir):
+    """The hidden units of the same net."""
+    rows, size = _features(spark, sf_dir)
+    got = M.predict(M.packed(rows, read(spark, sf_dir, "documents")), _net(spark, size), lambda: M.relu_1(units=(4,)), size, layer=1)
+    return got.select("doc_id", "unit", F.round("score", 6).alias("score"))
+
+
 @query()
 def ftrl_fit(spark, sf_dir):
-    return M.fit_exact(_samples(spark, sf_dir), lambda: M.FTRL(l1=0.1, l2=0.1, iters=3), SIZE).select("i", "z", "n", "w")
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_exact(samples, lambda: M.FTRL(l1=0.1, l2=0.1, iters=3), size).select("i", "z", "n", "w")
+
+
+@query()
+def ftrl_partial_fit(spark, sf_dir):
+    """One pass over the samples below id 5000, then one over the others."""
+    samples, size = _samples(spark, sf_dir)
+    make = lambda: M.FTRL(l1=0.1, l2=0.1)
+    first = M.partial_fit(samples.where("doc_id < 5000"), None, make, size, epochs=1)
+    return M.partial_fit(samples.where("doc_id >= 5000"), first, make, size, epochs=1).select("i", "z", "n", "w")
+
+
+@query()
+def ftrl_weighted(spark, sf_dir):
+    samples, size = _samples(spark, sf_dir, weight="weight")
+    return M.fit_exact(samples, lambda: M.FTRL(l1=0.1, l2=0.1, iters=2), size).select("i", "z", "n", "w")
 
 
 @query()
 def ftrl32_fit(spark, sf_dir):
-    return M.fit_exact(_samples(spark, sf_dir), lambda: M.FTRL(l1=0.1, l2=0.1, iters=3, dtype=np.float32), SIZE).select("i", "z", "n", "w")
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_exact(samples, lambda: M.FTRL(l1=0.1, l2=0.1, iters=3, dtype=np.float32), size).select("i", "z", "n", "w")
 
 
 @query()
 def ftrl_fit_averaged(spark, sf_dir):
-    return M.fit_averaged(_samples(spark, sf_dir), lambda: M.FTRL(l1=0.01, l2=0.1), SIZE)
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_averaged(samples, lambda: M.FTRL(l1=0.01, l2=0.1), size)
 
 
 @query()
 def fm_fit(spark, sf_dir):
-    return M.fit_predict(_samples(spark, sf_dir), lambda: M.FactorizationMachine(rank=8, iters=2), SIZE)
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_predict(samples, lambda: M.FactorizationMachine(rank=8, iters=2), size)
 
 
 @query()
 def nn1_fit(spark, sf_dir):
-    return M.fit_predict(_samples(spark, sf_dir), lambda: M.relu_1(iters=2), SIZE)
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_predict(samples, lambda: M.relu_1(iters=2), size)
 
 
 @query()
 def nn2_fit(spark, sf_dir):
-    return M.fit_predict(_samples(spark, sf_dir), lambda: M.relu_2(iters=2), SIZE)
-
-
-@query()
-def predict_layer(spark, sf_dir):
-    return M.fit_predict(_samples(spark, sf_dir), lambda: M.relu_2(iters=1), SIZE, layer=1)
+    samples, size = _samples(spark, sf_dir)
+    return M.fit_predict(samples, lambda: M.relu_2(iters=2), size)

@@ -340,11 +340,12 @@ def pandas_hash_dtype(spark, sf_dir):
 
 
 @query(
-    f"""with {DICT_SQL}, {EACH_SQL}, top as (select word, id from dict where id <= 300), c as (select doc_id, id, count(*) as v from each join top using (word) group by 1, 2),
+    f"""with {DICT_SQL}, {EACH_SQL}, c as (select doc_id, id, count(*) as v from each join dict using (word) group by 1, 2),
 f as (select doc_id, string_agg(id || ':' || v, ' ' order by id) as f from c group by doc_id) select tok.doc_id, coalesce(f, '') as features from tok left join f using (doc_id)"""
 )
 def feature_vectors(spark, sf_dir):
     rows = doc_tokens(spark, sf_dir)
-    got = to_vectors(rows, WordBag(norm=None, tf=None, idf=None).transform(rows, Dictionary(max_words=300).fit(rows)), 300)
+    d = Dictionary().fit(rows)
+    got = to_vectors(rows, WordBag(norm=None, tf=None, idf=None).transform(rows, d), d.words.count() + 1)
     pair = F.zip_with("indices", "values", lambda i, v: F.concat(i.cast("string"), F.lit(":"), v.cast("long").cast("string")))
     return got.select("doc_id", F.array_join(pair, " ").alias("features"))
