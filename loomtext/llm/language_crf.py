@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from loomtext.llm.columnar import Words, mix, row_slices, strings, words
 
 SPACE = 1 << 16
+#: Codes of byte trigrams lie below this.
+TRIGRAMS = 257**3
 _SALT = {name: np.uint64(0x51ED270B * (i + 1)) for i, name in enumerate(("word", "lexicon", "p1", "p2", "p3", "s1", "s2", "s3", "two", "three"))}
 
 
 @dataclass
 class Model:
-    """weights: SPACE x labels; lexicon and its codes are sorted by word hash."""
+    """weights: SPACE x labels; lexicon and its codes are sorted by word hash; seen: bits of the byte trigrams of the words it was fitted on, ``common`` the share of these trigrams that two words or more have: what a new word of the languages can be expected to share."""
 
     labels: list[str]
     weights: np.ndarray
@@ -39,14 +41,16 @@ class Model:
     start: np.ndarray
     lexicon: np.ndarray
     codes: np.ndarray
+    seen: np.ndarray
+    common: float
 
 
 def _slot(kind: str, x: np.ndarray) -> np.ndarray:
     return (mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _SALT[kind]) >> np.uint64(48)).astype(np.int64)
 
 
-def features(w: Words, at: np.ndarray, lexicon: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words number ``at``: a table of 8 feature slots each, the slots of all n-grams, where each word's begin, and how many it has."""
+def features(w: Words, at: np.ndarray, lexicon: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words number ``at``: a table of 8 feature slots each, the slots of all n-grams, where each word's begin, how many it has, and the codes of its trigrams, which are half as many."""
     start, end, h = w.start[at], w.end[at], w.hash[at]
     lens = end - start
     p = np.searchsorted(lexicon, h)
@@ -76,7 +80,13 @@ def features(w: Words, at: np.ndarray, lexicon: np.ndarray, codes: np.ndarray) -
     last = np.ones(size, bool)
     last[begin + total - 1] = False
     grams = grams[:, last]
-    return np.stack(table, axis=1), grams.T.ravel(), 2 * (begin - np.arange(len(at))), 2 * (total - 1)
+    return np.stack(table, axis=1), grams.T.ravel(), 2 * (begin - np.arange(len(at))), 2 * (total - 1), three[:size][last].astype(np.int64)
+
+
+def familiar(seen: np.ndarray, begin: np.ndarray, times: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """The share of each word's trigrams that were seen."""
+    hit = (seen[trigrams >> 3] >> (trigrams & 7).astype(np.uint8)) & 1
+    return np.add.reduceat(hit.astype(np.float64), begin // 2) / (times // 2)
 
 
 def evidence(weights: np.ndarray, table: np.ndarray, grams: np.ndarray, begin: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -161,7 +171,7 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
     truth = np.repeat([labels.index(x) for x in langs], w.counts)
     n, k = len(w.hash), len(labels)
     if not n:
-        return Model(labels, np.zeros((SPACE, k), np.float32), np.zeros((k, k)), np.zeros(k), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return Model(labels, np.zeros((SPACE, k), np.float32), np.zeros((k, k)), np.zeros(k), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(TRIGRAMS // 8 + 1, np.uint8), 0.0)
     vocabulary, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
     counts = np.zeros((len(vocabulary), k))
     np.add.at(counts, (which, truth), 1)
@@ -170,7 +180,11 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
         top = np.lexsort((vocabulary, -counts[:, label]))[:lexicon_size]
         codes[top[counts[top, label] > 1]] |= 1 << label
     lexicon, codes = vocabulary[codes > 0], codes[codes > 0]
-    table, grams, begin, times = features(w, first, lexicon, codes)
+    table, grams, begin, times, trigrams = features(w, first, lexicon, codes)
+    seen_trigrams = np.zeros(TRIGRAMS + 8, bool)
+    seen_trigrams[trigrams] = True
+    times_seen = np.unique(trigrams, return_counts=True)[1]
+    common = float(times_seen[times_seen > 1].sum() / times_seen.sum())
     table, grams, root = table.astype(np.int32), grams.astype(np.int32), np.sqrt(times)
     cuts, owner = [], np.repeat(np.arange(len(texts)), w.counts)
     at = 0
@@ -221,7 +235,7 @@ def _learn(texts: list[str], langs: list[str], *, lexicon_size: int, rounds: int
             m += 0.1 * (dx - m)
             v += 0.01 * (dx * dx - v)
             x += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(labels, weights.astype(np.float32), transitions, start, lexicon, codes)
+    return Model(labels, weights.astype(np.float32), transitions, start, lexicon, codes, np.packbits(seen_trigrams, bitorder="little"), common)
 
 
 def fit(docs: DataFrame, *, docs_per_language: int = 300, lexicon_size: int = 400, rounds: int = 40, fragment: int = 24, max_chars: int = 50_000, seed: int = 7, text: str = "text", lang: str = "lang") -> Model | None:
@@ -242,22 +256,24 @@ def fit(docs: DataFrame, *, docs_per_language: int = 300, lexicon_size: int = 40
     return _learn([t for t, _ in rows], [x for _, x in rows], lexicon_size=lexicon_size, rounds=rounds, fragment=fragment, seed=seed)
 
 
-def posteriors(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of all words of the column, and where each row's words begin."""
+def posteriors(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label probabilities of all words of the column, where each row's words begin, and how familiar each word is."""
     w = words(col)
     if not len(w.hash):
-        return np.zeros((0, len(model.labels))), w.first
+        return np.zeros((0, len(model.labels))), w.first, np.zeros(0)
     _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    e = evidence(model.weights, *features(w, first, model.lexicon, model.codes))[which]
+    *slots, trigrams = features(w, first, model.lexicon, model.codes)
+    e = evidence(model.weights, *slots)[which]
+    known = familiar(model.seen, slots[2], slots[3], trigrams)[which]
     restart = np.zeros(len(e), bool)
     begins = w.first[:-1]
     restart[begins[w.counts > 0]] = True
-    return marginals(e, restart, model.transitions, model.start), w.first
+    return marginals(e, restart, model.transitions, model.start), w.first, known
 
 
-def _summary(model: Model, col: pa.Array, min_confidence: float) -> dict[str, np.ndarray]:
+def _summary(model: Model, col: pa.Array, min_confidence: float, min_familiar: float) -> dict[str, np.ndarray]:
     """Of each row: label number (-1 without words), confidence, words, and the runs of equal labels."""
-    post, first = posteriors(model, col)
+    post, first, known = posteriors(model, col)
     counts, rows = np.diff(first), len(first) - 1
     some = counts > 0
     total = np.zeros((rows, len(model.labels)))
@@ -265,23 +281,26 @@ def _summary(model: Model, col: pa.Array, min_confidence: float) -> dict[str, np
         total[some] = np.add.reduceat(post, first[:-1][some], axis=0)
     best = np.where(some, total.argmax(axis=1), -1)
     confidence = np.where(some, total.max(axis=1) / np.maximum(counts, 1), 0.0)
+    share = np.zeros(rows)
+    if len(post):
+        share[some] = np.add.reduceat(known, first[:-1][some]) / counts[some]
     label = post.argmax(axis=1)
     new = np.ones(len(label), bool)
     new[1:] = label[1:] != label[:-1]
     new[first[:-1][some]] = True
     runs = np.flatnonzero(new)
     run_first = np.searchsorted(runs, first)
-    return {"best": best, "confidence": confidence, "counts": counts, "runs": runs, "run_first": run_first, "run_label": label[runs], "first": first, "accepted": some & (confidence >= min_confidence)}
+    return {"best": best, "confidence": confidence, "counts": counts, "runs": runs, "run_first": run_first, "run_label": label[runs], "first": first, "familiar": share, "accepted": some & (confidence >= min_confidence) & (share >= min_familiar * model.common)}
 
 
-def _label(shared, min_confidence: float) -> Callable:
+def _label(shared, min_confidence: float, min_familiar: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = pa.array(model.labels, pa.string())
         for b in batches:
             col = strings(b.column("text"))
             for a, z in row_slices(col, 2 << 20):
-                s = _summary(model, col.slice(a, z - a), min_confidence)
+                s = _summary(model, col.slice(a, z - a), min_confidence, min_familiar)
                 offsets = pa.array(s["run_first"], pa.int32())
                 at = s["runs"] - np.repeat(s["first"][:-1], np.diff(s["run_first"]))
                 yield pa.RecordBatch.from_arrays(
@@ -300,13 +319,16 @@ def _label(shared, min_confidence: float) -> Callable:
     return run
 
 
-def label_words(docs: DataFrame, model: Model | None = None, *, min_confidence: float = 0.4, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def label_words(docs: DataFrame, model: Model | None = None, *, min_confidence: float = 0.4, min_familiar: float = 0.5, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row for each document: its language, and the labels of all its words as runs.
 
     language has the largest mean probability over the words, which is
     confidence. run_at has the number of the first word of each run of equal
-    labels, run_language the labels. accepted: the text has words, and
-    confidence is at least min_confidence. Null, empty and wordless texts have
+    labels, run_language the labels. accepted: the text has words, confidence
+    is at least min_confidence, and of a word's byte trigrams, in the mean over
+    the words, min_familiar of the share that new words of the languages can be
+    expected to have in common with those the model was fitted on: so a text in
+    none of the languages is rejected however few they are. Null, empty and wordless texts have
     language null, confidence 0, no runs and aren't accepted. With equal
     probabilities the first language in alphabetical order wins. Repeated rows
     and null ids are labelled like others; clashing extra columns aren't read.
@@ -319,11 +341,16 @@ def label_words(docs: DataFrame, model: Model | None = None, *, min_confidence:
         return plain.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("words"), none.alias("run_at"), F.array().cast("array<string>").alias("run_language"), F.lit(False).alias("accepted"))
     kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return plain.mapInArrow(_label(shared, min_confidence), f"doc_id {kind}, language string, confidence double, words long, run_at array<int>, run_language array<string>, accepted boolean")
+    return plain.mapInArrow(_label(shared, min_confidence, min_familiar), f"doc_id {kind}, language string, confidence double, words long, run_at array<int>, run_language array<string>, accepted boolean")
 
 
-def reject_unreliable(docs: DataFrame, model: Model | None = None, *, min_confidence: float = 0.4, text: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, that label_words() accepts. Without a row to learn from, none can be judged and all stay."""
+def reject_unreliable(docs: DataFrame, model: Model | None = None, *, min_confidence: float = 0.4, min_familiar: float = 0.5, text: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, that label_words() accepts.
+
+    Null, empty and wordless texts go. Repeated rows go or stay alike; null ids
+    and extra columns are carried along. Without a row to learn from, none can
+    be judged and all stay; an empty table stays empty.
+    """
     model = model or fit(docs, text=text, **how)
     if model is None:
         return docs
@@ -332,7 +359,7 @@ def reject_unreliable(docs: DataFrame, model: Model | None = None, *, min_confid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = strings(b.column(b.schema.get_field_index(text)))
-            keep = [_summary(shared.value, col.slice(a, z - a), min_confidence)["accepted"] for a, z in row_slices(col, 2 << 20)]
+            keep = [_summary(shared.value, col.slice(a, z - a), min_confidence, min_familiar)["accepted"] for a, z in row_slices(col, 2 << 20)]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -470,6 +470,23 @@ def test_pages_of_any_key_come_back(spark, kind):
     assert {r.url for r in got} == {"%20http://x/%20", "http://x/%0D%0A%0D%0AWARC/1.0", "%09", "", None, "http://é"}
 
 
+# --- texts in no known language
+
+
+@pytest.mark.parametrize("langs", [["de", "en", "es", "fr"], ["en", "es"], ["en"]])
+def test_texts_in_no_known_language_are_rejected(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(langs))
+    strange = ["Все люди рождаются свободными и равными", "xkcd bcdfg qwrtz plkjh mnbvc", "人人生而自由 在尊严和权利上一律平等", "zzyzx qqq wvw xjx", None, "", "?!"]
+    rows = docs.unionByName(spark.createDataFrame([(-1 - i, t, None, "s", 1) for i, t in enumerate(strange)], docs.schema))
+    model = L.fit(docs)
+    kept = [r.doc_id for r in L.reject_unreliable(rows, model).collect()]
+    assert not any(i < 0 for i in kept)
+    clean = docs.count()
+    assert len(kept) >= clean - 1  # one that is mostly numbers may be unsure between four languages
+    got = {r.doc_id: r.accepted for r in L.label_words(rows, model).collect()}
+    assert {i for i, a in got.items() if a} == set(kept)
+
+
 # --- HTML
 
 
