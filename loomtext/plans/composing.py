@@ -13,7 +13,7 @@ from loomtext.operators import compose as C
 from loomtext.operators.dictionary import Dictionary
 from loomtext.operators.features import WordBag, WordSeq
 from loomtext.operators.spelling import Tokenizer
-from loomtext.plans.registry import query, read
+from loomtext.plans.registry import query, read, spread
 from loomtext.plans.text_features import _FIXED, _SEQ, DICT_SQL, EACH_SQL, TOK_SQL, doc_tokens, turn_tokens
 from loomtext.session import fresh_path
 from loomtext.sources import io
@@ -226,7 +226,7 @@ select doc_id, dense_id as idx, round(val / sqrt(sum(val * val) over (partition
 )
 def text_pipeline(spark, sf_dir):
     p = C.TextPipeline(tokenizer=Tokenizer(8, 2), dictionary=Dictionary(min_df=2), extractor=WordBag(idf=50.0))
-    return p.fit_transform(read(spark, sf_dir, "documents")).select("doc_id", "idx", F.round("val", 6).alias("val"))
+    return p.fit_transform(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
 @query(f"with {TOK_SQL} select word, count(*) as df from (select unnest(list_distinct(tokens)) as word from tok) group by word")

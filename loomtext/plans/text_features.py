@@ -11,7 +11,8 @@ from loomtext.operators.compose import TextPipeline, hstack_vectors
 from loomtext.operators.dictionary import Dictionary, doc_frequencies
 from loomtext.operators.features import WordBag, WordSeq, WordVec, encode_categories, hash_columns, to_vectors, word_hash
 from loomtext.operators.spelling import Tokenizer, corrections, deletion_index, porter, stemmed
-from loomtext.plans.registry import query, read
+from loomtext.plans.registry import query, read, spread
+from loomtext.session import written
 
 NORM_SQL = "array_to_string(list_filter(string_split(trim(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda x: length(x) > 1), ' ')"
 TOK_SQL = f"tok as (select doc_id, string_split({NORM_SQL}, ' ') as tokens from documents)"
@@ -24,7 +25,7 @@ _DELETE_1 = "list_distinct(list_filter(list_transform(range(1, length({w}) + 1),
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, tokens) of the normalised documents."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.tokens(T.normalize_default(F.col("text"))).alias("tokens"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(T.normalize_default(F.col("text"))).alias("tokens"))
 
 
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ TURN_SQL = f"tok as (select conv_id * 100000 + turn as doc_id, string_split({NOR
 
 @query(f"select doc_id, {NORM_SQL} as norm from documents")
 def normalize_default(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_default(F.col("text")).alias("norm"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.normalize_default(F.col("text")).alias("norm"))
 
 
 @query(f"select doc_id, lower(trim(regexp_replace({_MARKED}, '[^A-Za-z0-9_]+', ' ', 'g'))) as norm from documents")
@@ -135,7 +136,7 @@ fixed as (select word, c as corrected from near qualify row_number() over (parti
 
 @query(f"{_FIXED} select word, corrected from fixed")
 def spell_correct(spark, sf_dir):
-    return corrections(doc_freq(spark, sf_dir), 8, 2)
+    return corrections(written(doc_freq(spark, sf_dir), "counts"), 8, 2)
 
 
 @query(
@@ -230,7 +231,7 @@ summed as (select doc_id, abs(h) % 1048576 as idx, sum(c * case when h >= 0 then
 select doc_id, idx, round(case when sum(val * val) over (partition by doc_id) = 0 then val else val / sqrt(sum(val * val) over (partition by doc_id)) end, 6) as val from summed"""
 )
 def wordhash(spark, sf_dir):
-    return word_hash(read(spark, sf_dir, "documents"), 1 << 20).select("doc_id", "idx", F.round("val", 6).alias("val"))
+    return word_hash(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), 1 << 20).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
 _WORDS2 = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9_]{2,}')"
@@ -244,20 +245,20 @@ summed as (select doc_id, abs(h) % 33554432 as idx, sum(c * case when h >= 0 the
 select doc_id, idx, round(case when sum(val * val) over (partition by doc_id) = 0 then val else val / sqrt(sum(val * val) over (partition by doc_id)) end, 6) as val from summed"""
 )
 def wordhash_bigrams(spark, sf_dir):
-    return word_hash(read(spark, sf_dir, "documents"), 1 << 25, (1, 2)).select("doc_id", "idx", F.round("val", 6).alias("val"))
+    return word_hash(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), 1 << 25, (1, 2)).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
 @query()
 def wordbag_stemmed(spark, sf_dir):
     """Corrected, stemmed, pruned and weighted: the longest chain of steps."""
     p = TextPipeline(tokenizer=Tokenizer(2, 2, stem=porter), dictionary=Dictionary(min_df=10, max_words=1_000_000), extractor=WordBag(tf="binary", idf=50.0))
-    return p.fit_transform(read(spark, sf_dir, "documents")).select("doc_id", "idx", F.round("val", 6).alias("val"))
+    return p.fit_transform(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "idx", F.round("val", 6).alias("val"))
 
 
 @query()
 def stemmed_first_word_mean(spark, sf_dir):
     """Mean text length by the stem of the first word; stems are computed once for each distinct word."""
-    rows = read(spark, sf_dir, "documents").select(T.first_word(T.normalize_default(F.col("text"))).alias("word"), F.length("text").alias("n"))
+    rows = spread(read(spark, sf_dir, "documents").select("text")).select(T.first_word(T.normalize_default(F.col("text"))).alias("word"), F.length("text").alias("n"))
     stems = rows.select("word").distinct().withColumn("stem", stemmed(F.col("word")))
     return rows.groupBy("word").agg(F.sum("n").alias("s"), F.count("n").alias("c")).join(stems, "word").groupBy("stem").agg((F.sum("s") / F.sum("c")).alias("mean"))
 
