@@ -74,3 +74,20 @@ def test_lookup_of_many_words_with_nulls():
 
 def test_repeated_words_are_not_looked_up(spark):
     assert inrow.lookup(spark.createDataFrame([("a", 1), ("a", 2)], "word string, id long")) is None
+
+
+def test_small_blocks_give_each_row_its_words(docs, monkeypatch):
+    monkeypatch.setattr(inrow, "BLOCK_VALUES", 3)
+    d = Dictionary().fit(docs)
+    make = lambda: rounded(WordBag(idf=1.0).packed(docs, d).select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("doc_id", "e.*"))
+    got = sorted(map(str, make().collect()))
+    assert got == by_joins(monkeypatch, make) == sorted(map(str, rounded(WordBag(idf=1.0).transform(docs, d)).collect()))
+    blocks = inrow.numbered_blocks(docs, "tokens")
+    assert blocks.count() == 9 and blocks.groupBy("__block").count().count() > 4
+
+
+def test_replacements_in_blocks_of_split_texts(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("tokens"))
+    monkeypatch.setattr(inrow, "MOST_ROWS", -1)
+    got = replace_tokens(rows, spark.createDataFrame([("a", "x")], "word string, corrected string"))
+    assert {r.doc_id: r.tokens for r in got.collect()} == {1: ["x", "b"], 2: [""]}
