@@ -350,3 +350,22 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert {(r.word, r.df) for r in d.words.collect()} == {("common", 20)} | {(f"word{i}", 5) for i in range(4)}
     s.update(docs, 1)
     assert s.latest(spark).doc_count == 20
+
+
+@pytest.mark.parametrize("make", MAKERS + [lambda: M.FTRL(l1=0.01, init=0.5), lambda: M.FactorizationMachine(rank=3, iters=1, init=0.3)])
+def test_large_states_are_applied_by_their_features(spark, samples, make, monkeypatch):
+    state = M.fit_exact(samples, make, 50)
+    rows = samples.select("doc_id", "idx", "val").unionByName(spark.createDataFrame([(-1, [49, 51], [1.0, 2.0]), (-2, [], [])], "doc_id long, idx array<long>, val array<double>"))
+    want = {r.doc_id: r.score for r in M.predict(rows, state, make, 50).collect()}
+    monkeypatch.setattr(M, "MOST_SENT", -1)
+    assert {r.doc_id: r.score for r in M.predict(rows, state, make, 50).collect()} == pytest.approx(want, abs=1e-12) and len(want) == 62
+
+
+def test_packed_rows_are_predicted_like_long_ones(spark, samples, monkeypatch):
+    rows = samples.select("doc_id", "idx", "val")
+    long = rows.select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("e")).select("doc_id", "e.*")
+    weights = spark.createDataFrame([(0, 0.2)] + [(i, 0.1 * i) for i in range(1, 15)], "i long, w double")
+    want = {r.doc_id: r.score for r in M.predict_linear(long, weights, rows).collect()}
+    for most in (M.MOST_SENT, -1):
+        monkeypatch.setattr(M, "MOST_SENT", most)
+        assert {r.doc_id: r.score for r in M.predict_packed(rows, weights).collect()} == pytest.approx(want, abs=1e-12)
