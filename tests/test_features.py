@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from models_by_hand import bag, deleted, dictionary, distance
 from pyspark.sql import functions as F
@@ -134,3 +135,56 @@ def test_hashed_columns_and_categories(spark):
     codes = {r.k: r.code for r in encode_categories(rows, "k", "c").collect()}
     assert codes == {1: 1, 2: 2, 3: 1}
     assert word_hash(spark.createDataFrame([(1, "ab ab c"), (2, None)], "doc_id long, text string"), 16, (1, 2), norm=None).count() >= 1
+
+
+def test_word_vectors_of_words_beyond_the_first_100000(spark, tmp_path):
+    from loomtext.plans.text_features import _word_vectors
+
+    words = " ".join(f"w{i:06d}" for i in range(100_003))
+    spark.createDataFrame([(0, words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0]), (100_001, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.word: r.vec for r in _word_vectors(spark, str(tmp_path)).collect()} == {"w100002": [1.0], "w000001": [2.0]}
+
+
+def test_first_normal_word(spark):
+    from loomtext.functions import text as T
+
+    texts = [None, "", "a", "a B cd", "--Ab9 x", "É école", "x1\ny2", "a b c", "1 22 333", "Iİ ab", "a-bc_d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(T.first_word(T.normalize_default(F.col("text"))).alias("a"), T.first_normal_word(F.col("text")).alias("b")).collect()
+    assert [r.b for r in got] == [r.a for r in got] and "cd" in [r.b for r in got]
+
+
+def test_corrections_to_candidates_of_any_length(spark):
+    """Against all pairs: deletions shared and edits within the distance, also above 15 characters."""
+    rng = np.random.default_rng(5)
+    cut = lambda w, d: {w} if not d else {x for v in cut(w, d - 1) for x in [v, *(v[:i] + v[i + 1 :] for i in range(len(v)))]}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    common = ["".join(rng.choice(list("ab"), n)) for n in (14, 15, 15, 16, 16, 17, 18, 22, 30)]
+    rare = set()
+    for w in common:
+        for _ in range(25):
+            v = list(w)
+            for _ in range(rng.integers(1, 4)):
+                i, how = int(rng.integers(len(v))), int(rng.integers(3))
+                v[i : i + (how != 0)] = list(rng.choice(list("abc"), int(how != 1)))
+            rare.add("".join(v))
+    rare -= set(common)
+    df = {w: 10 + i % 3 for i, w in enumerate(common)}
+    for dist in (1, 2):
+        want = {}
+        for w in rare:
+            near = [(-df[c], c) for c in common if edits(w, c) <= dist and (cut(w, dist) - {w}) & (cut(c, dist) - {c})]
+            if near:
+                want[w] = min(near)[1]
+        words = spark.createDataFrame([(w, 1) for w in rare] + list(df.items()), "word string, df long")
+        assert {r.word: r.corrected for r in corrections(words, 8, dist, longest=None).collect()} == want
+        assert any(len(c) > 15 for c in want.values())
