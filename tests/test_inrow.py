@@ -91,3 +91,36 @@ def test_replacements_in_blocks_of_split_texts(spark, monkeypatch):
     monkeypatch.setattr(inrow, "MOST_ROWS", -1)
     got = replace_tokens(rows, spark.createDataFrame([("a", "x")], "word string, corrected string"))
     assert {r.doc_id: r.tokens for r in got.collect()} == {1: ["x", "b"], 2: [""]}
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK_VALUES": 3}, {"BLOCK_BYTES": 40}, {"WORDS_OF_ROW": 2}])
+def test_coded_blocks_keep_rows_and_words(docs, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(inrow, k, v)
+    table = docs.sparkSession.createDataFrame([("a", 1), ("b", 2), ("ü", 3), ("never", 4)], "word string, n long")
+
+    def known(own, words):
+        n = dict(zip(words["word"].to_pylist(), words["n"].to_pylist()))
+        assert "never" not in n
+        return pa.table({"doc_id": own["doc_id"], "tokens": own["tokens"], "n": pa.array([None if t is None else [n.get(w, 0) for w in t] for t in own["tokens"].to_pylist()], pa.list_(pa.int64()))})
+
+    rows = docs.unionByName(docs.sparkSession.createDataFrame([(9, ["a", None, "b"])], docs.schema))
+    got = inrow.over_blocks(rows, table, "doc_id long, tokens array<string>, n array<long>", known)
+    n = {"a": 1, "b": 2, "ü": 3}
+    want = {r.doc_id: (r.tokens, None if r.tokens is None else [n.get(w, 0) for w in r.tokens]) for r in rows.collect()}
+    assert {r.doc_id: (r.tokens, r.n) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_more_blocks_make_more_tasks_not_larger_ones(spark, monkeypatch):
+    """With few shuffle partitions, too."""
+    monkeypatch.setattr(inrow, "BLOCK_VALUES", 10)
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("string"), F.lit("a")).alias("tokens"))
+    table = spark.range(400).select(F.col("id").cast("string").alias("word"), "id")
+
+    def sizes(own, words):
+        return pa.table({"rows": [own.num_rows]})
+
+    got = inrow.over_blocks(rows, table, "rows long", sizes)
+    blocks = got.count()
+    assert blocks > 100 and got.select(F.max("rows")).first()[0] <= 5
+    assert got.rdd.getNumPartitions() == blocks
