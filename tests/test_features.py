@@ -5,7 +5,7 @@ import pytest
 from models_by_hand import bag, deleted, dictionary, distance
 from pyspark.sql import functions as F
 
-from loomtext.operators.dictionary import Dictionary
+from loomtext.operators.dictionary import Dictionary, doc_frequencies
 from loomtext.operators.features import WordBag, WordSeq, WordVec, default_salt, encode_categories, hash_columns, to_vectors, word_hash
 from loomtext.operators.spelling import Tokenizer, corrections
 
@@ -188,3 +188,11 @@ def test_corrections_to_candidates_of_any_length(spark):
         words = spark.createDataFrame([(w, 1) for w in rare] + list(df.items()), "word string, df long")
         assert {r.word: r.corrected for r in corrections(words, 8, dist, longest=None).collect()} == want
         assert any(len(c) > 15 for c in want.values())
+
+
+def test_document_frequencies_need_no_python(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", None, None],), (["", "a"],), ([],), (None,), ([None],)], "tokens array<string>").coalesce(1)
+    got = doc_frequencies(rows)
+    assert {r.word: r.df for r in got.collect()} == {"a": 2, "b": 1, None: 2, "": 1}
+    assert {r.word: r.df for r in doc_frequencies(spark.createDataFrame([([1, 1, 2],), ([2],)], "n array<int>"), "n").collect()} == {"1": 1, "2": 2}
+    assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
