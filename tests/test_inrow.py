@@ -124,3 +124,19 @@ def test_more_blocks_make_more_tasks_not_larger_ones(spark, monkeypatch):
     blocks = got.count()
     assert blocks > 100 and got.select(F.max("rows")).first()[0] <= 5
     assert got.rdd.getNumPartitions() == blocks
+
+
+def test_every_block_has_its_own_task(spark, monkeypatch):
+    """Blocks spread by hash met in tasks, the more the more blocks there were."""
+    monkeypatch.setattr(inrow, "BLOCK_VALUES", 10)
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("string"), F.lit("a")).alias("tokens"))
+    table = spark.range(400).select(F.col("id").cast("string").alias("word"), "id")
+
+    def sizes(own, words):
+        return pa.table({"rows": [own.num_rows], "words": [words.num_rows]})
+
+    got = inrow.over_blocks(rows, table, "rows long, words long", sizes).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) == len(got) > 100
+    assert sum(r.rows for r in got) == sum(r.words for r in got) == 400
+    nothing = inrow.over_blocks(rows.where("doc_id < 0"), table, "rows long, words long", sizes)
+    assert nothing.count() == 0
