@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import inrow
-from loomtext.operators.dictionary import Dictionary
+from loomtext.operators.dictionary import Dictionary, doc_frequencies
 from loomtext.operators.features import WordBag, WordSeq, WordVec, hash_columns
 from loomtext.operators.spelling import replace_tokens
+from loomtext.plans import text_features
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +141,34 @@ def test_every_block_has_its_own_task(spark, monkeypatch):
     assert sum(r.rows for r in got) == sum(r.words for r in got) == 400
     nothing = inrow.over_blocks(rows.where("doc_id < 0"), table, "rows long, words long", sizes)
     assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_VALUES": 3}, {"WORDS_OF_ROW": 2}])
+def test_blocks_count_words_as_their_rows_do(docs, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(inrow, k, v)
+    rows = docs.unionByName(docs.sparkSession.createDataFrame([(9, ["a", None, "b", None]), (10, [None])], docs.schema))
+    blocks = inrow.Blocks.of(rows)
+    want = sorted(map(str, doc_frequencies(rows).collect()))
+    assert sorted(map(str, blocks.frequencies().collect())) == want and blocks.count() == rows.count() == 11
+    nothing = inrow.Blocks.of(rows.where("doc_id < 0"))
+    assert nothing.count() == 0 and nothing.frequencies().isEmpty()
+
+
+@pytest.mark.parametrize("how", [{"tf": 1.2, "idf": None}, {"tf": "binary", "idf": 0.0}])
+def test_bags_of_large_dictionaries_normalise_texts_once(spark, docs, monkeypatch, how):
+    """They did it for the dictionary, for the number of rows and for the blocks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    some = docs.where("tokens is not null").localCheckpoint()
+    want = sorted(map(str, WordBag(**how).transform(some, Dictionary().fit(some)).select("doc_id", "idx", F.round("val", 6).alias("val")).collect()))
+    monkeypatch.setattr(text_features, "doc_tokens", lambda *_: some.mapInArrow(counted, some.schema))
+    monkeypatch.setattr(inrow, "MOST_ROWS", -1)
+    got = text_features._bag(spark, "", **how).collect()
+    assert seen.value == 8
+    assert want and sorted(map(str, got)) == want
